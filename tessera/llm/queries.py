@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import language_report
 from .licenses import scan_licenses
 from .mixing import MIX_SQL, mix_report
 from .quality import quality_report
 from .simhash import simhash_components
 from .textkit import table
+from .toxicity import toxicity_report
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +27,14 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, seed="mix")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +43,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_license_scan": op3_license_scan,
     "op5_mix_sources": op5_mix_sources,
+    "op6_language_id": op6_language_id,
+    "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
 

@@ -102,14 +102,9 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
+    out = np.full(n, base)
     out[:1] = 1
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * (out[done - 1] * base)
-        done += step
-    return out
+    return np.cumprod(out)
 
 
 _POWERS: dict[str, np.ndarray] = {}
