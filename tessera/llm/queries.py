@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import CONTAMINATED_SQL, contaminated
 from .langid import language_report
 from .licenses import scan_licenses
 from .mixing import MIX_SQL, mix_report
 from .quality import quality_report
 from .simhash import simhash_components
+from .substrings import substring_report
 from .textkit import table
 from .toxicity import toxicity_report
 
@@ -23,6 +25,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle_words=5, least=0.8)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3, seed="mix")
 
@@ -35,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(table(spark, sf_dir, "documents"), window=20)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,10 +52,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_decontamination": op4_decontamination,
     "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": CONTAMINATED_SQL, "op5_mix_sources": MIX_SQL}
