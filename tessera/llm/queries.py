@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import CONTAMINATED_SQL, contaminated
+from .hmm import hmm_scores
 from .langid import language_report
 from .licenses import scan_licenses
 from .mixing import MIX_SQL, mix_report
@@ -21,6 +22,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=3, seed=42, radius=3)
 
 
+def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"), held=0, modulus=10)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_hmm_scores": op2_hmm_scores,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_mix_sources": op5_mix_sources,
