@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textkit import byte_lists, map_texts, stored
+from .textkit import LOWER, byte_lists, map_texts, mix, raw, rolling, stored, word_hashes, words_of
 
 #: Fingerprints that a shard owns on average, and most that the driver reads to place the trees.
 SHARD, SAMPLE = 6_000, 65_536
@@ -53,26 +53,17 @@ def fold(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42, keep: tuple[str, ...] = ("doc_id",), seeds: tuple[int, ...] = ()) -> DataFrame:
-    """``keep`` columns and fp, the fingerprint as a signed long; with ``seeds``, fp is an array of one for each seed."""
-    many = seeds or (seed,)
+def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and fp, the fingerprint as a signed long."""
     types = dict(docs.dtypes)
 
     def kernel(piece):
-        texts = byte_lists(piece.column("text"))
-        got = []
-        for s in many:
-            lists = [shingle_hashes(t, shingle_words, s) for t in texts]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-            got.append(fold(np.array([h for x in lists for h in x], np.uint64), at).view(np.int64))
-        if seeds:
-            fp = pa.ListArray.from_arrays(np.arange(0, len(texts) * len(many) + 1, len(many), dtype=np.int32), pa.array(np.stack(got, 1).ravel()))
-        else:
-            fp = pa.array(got[0])
-        return pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + [fp], [*keep, "fp"])
-
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + (", fp array<bigint>" if seeds else ", fp bigint")
-    return map_texts(docs.select(*dict.fromkeys([*keep, "text"])), kernel, schema)
+        lists = [shingle_hashes(t, shingle_words, seed) for t in byte_lists(piece.column("text"))]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        fp = fold(np.array([h for x in lists for h in x], np.uint64), at)
+        return pa.RecordBatch.from_arrays([piece.column(c) for c in keep] + [pa.array(fp.view(np.int64))], [*keep, "fp"])
+
+    return map_texts(docs.select(*dict.fromkeys([*keep, "text"])), kernel, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", fp bigint")
 
 
 def blocks_of(radius: int) -> list[tuple[np.uint64, int]]:
@@ -132,7 +123,7 @@ def route(tree, fp: np.ndarray, out: list, index=None, mine=None) -> None:
 
 
 def linked(fp: np.ndarray, mine: np.ndarray, tries, radius: int, found) -> None:
-    """Calls found(i, j) with arrays of rows that are linked, j owned; every such pair with fp[i] > fp[j] or j's twin."""
+    """Calls found(i, j) with arrays of rows that are linked, i > j and j owned.  Rows have the same order in every shard."""
     rng = np.random.default_rng(11)
 
     def join(own, ask):
@@ -150,7 +141,7 @@ def linked(fp: np.ndarray, mine: np.ndarray, tries, radius: int, found) -> None:
         step = max(1, OUTRIGHT // len(own))
         for k in range(0, len(ask), step):
             q = ask[k : k + step]
-            i, j = np.nonzero((np.bitwise_count(fp[q][:, None] ^ fp[own][None, :]) <= radius) & (fp[q][:, None] > fp[own][None, :]))
+            i, j = np.nonzero((np.bitwise_count(fp[q][:, None] ^ fp[own][None, :]) <= radius) & (q[:, None] > own[None, :]))
             if len(i):
                 found(q[i], own[j])
 
@@ -243,3 +234,126 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, seed: int = 42,
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of near-duplicate search: independent word fingerprints, the radius that links candidates, longs of the
+#: shingle fingerprint, and bits of it that candidates may differ in (a similarity of 0.8 takes 39 of 256, give or take 6).
+SEEDS, NEAR, LONGS, DIFFER = 2, 5, 4, 64
+
+
+def _sets(col: pa.Array, k: int):
+    """Hashes of each row's distinct words and distinct k-word shingles (fewer words: one of all), with offsets; a hash of all words."""
+    data, ends = raw(col)
+    data = LOWER[data]
+    starts, stops, at = words_of(data, ends)
+    words = word_hashes(data, starts, stops)
+    n = np.diff(at)
+
+    def distinct(row, h):
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))])
+
+    rows = np.arange(len(n))
+    full = np.maximum(0, n - k + 1)
+    place = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full - at[:-1], full)
+    roll = rolling(words, k)
+    short = np.flatnonzero((n > 0) & (n < k))
+    some = [mix(np.array([int(rolling(words[at[r] : at[r + 1]], n[r])[0]) ^ int(n[r])], np.uint64)) for r in short]
+    shingles = np.concatenate([roll[place], *some]) if len(place) or some else np.empty(0, np.uint64)
+    owner = np.concatenate([np.repeat(rows, full), short]).astype(np.int64)
+    place_in = np.arange(len(words)) - np.repeat(at[:-1], n)
+    salted = mix(words ^ (place_in.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(salted, dtype=np.uint64)])
+    return distinct(np.repeat(rows, n), words), distinct(owner, shingles), mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64))
+
+
+def _prints(docs: DataFrame, k: int) -> DataFrame:
+    """key, doc_id, node (hash of the word sequence), fp0.. (of the words) and g0.. (of the shingles)."""
+    names = [f"fp{i}" for i in range(SEEDS)] + [f"g{i}" for i in range(LONGS)]
+
+    def kernel(piece):
+        words, grams, node = _sets(piece.column("text"), k)
+        cols = [fold(mix(h + np.uint64(i + 1)), at) for (h, at), many in ((words, SEEDS), (grams, LONGS)) for i in range(many)]
+        return pa.RecordBatch.from_arrays([piece.column("key"), piece.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (node, *cols))], ["key", "doc_id", "node", *names])
+
+    types = dict(docs.dtypes)
+    return map_texts(docs.select("key", "doc_id", "text"), kernel, f"key bigint, doc_id {types['doc_id']}, node bigint, " + ", ".join(f"{c} bigint" for c in names))
+
+
+def _candidates(nodes: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) between nodes: in each shard every node's linked predecessor of the most alike shingle fingerprint."""
+    grams = tuple(f"g{i}" for i in range(LONGS))
+
+    def local(tries):
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("fp", "ascending"), ("node", "ascending")])
+            fp, mine, node = t.column("fp").to_numpy().view(np.uint64), t.column("mine").to_numpy(), t.column("node").to_numpy()
+            wide = [t.column(c).to_numpy().view(np.uint64) for c in grams]
+            best, to = np.full(len(fp), DIFFER + 1, np.int64), np.full(len(fp), -1, np.int64)
+
+            def found(i, j):
+                d = sum(np.bitwise_count(g[i] ^ g[j]).astype(np.int64) for g in wide)
+                order = np.lexsort((j, d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.concatenate([[True], i[1:] != i[:-1]])
+                i, j, d = i[first], j[first], d[first]
+                better = d < best[i]
+                best[i[better]], to[i[better]] = d[better], j[better]
+
+            linked(fp, mine, tries, NEAR, found)
+            some = np.flatnonzero(to >= 0)
+            return pa.table({"u": node[some], "v": node[to[some]]})
+
+        return run
+
+    out = None
+    for s in range(SEEDS):
+        own = nodes.select(F.col(f"fp{s}").alias("fp"), "node", *grams)
+        for k, (mask, r) in enumerate(blocks_of(NEAR)):
+            part = shards(own, NEAR, k, ("node", *grams), n).groupBy("shard").applyInArrow(local(((mask, r), (_ALL, NEAR))), "u bigint, v bigint")
+            out = part if out is None else out.unionByName(part)
+    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """key (xxhash64 of doc_id and text), doc_id, node and group, for each row of ``docs`` (doc_id, text).
+
+    Texts of equal words are one node.  Nodes whose word fingerprints differ in NEAR bits or fewer are
+    candidates; each candidate's Jaccard similarity of distinct shingles is then computed from the
+    shingles themselves, and links at ``similarity`` or more make the groups.
+    """
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    prints = stored(_prints(keyed, shingle_words))
+    names = [c for c in prints.columns if c not in ("key", "doc_id", "node")]
+    nodes = stored(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in names), F.min("key").alias("key")))
+    edges = stored(_candidates(nodes, nodes.count()))
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    texts = keyed.join(nodes.join(ends, "node").select("key", "node"), "key").dropDuplicates(["node"])
+
+    def kernel(piece):
+        _, (h, at), _ = _sets(piece.column("text"), shingle_words)
+        low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+        return pa.RecordBatch.from_arrays([piece.column("node"), low], ["node", "shingles"])
+
+    sets = stored(map_texts(texts.select("node", "text"), kernel, "node bigint, shingles array<int>"))
+    both = edges.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    union = F.size(F.array_distinct("a")) + F.size(F.array_distinct("b")) - shared
+    links_ = both.where(shared >= F.lit(similarity) * union).select("u", "v")
+    comps = components(links_).withColumnsRenamed({"root": "group"})
+    return prints.select("key", "doc_id", "node").join(comps, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: that of the smallest doc_id (null last).
+
+    Rows alike in doc_id and text are one document and stay or go together; null and empty texts are
+    near duplicates of each other.  All columns stay.
+    """
+    groups = stored(near_duplicate_groups(docs, shingle_words, similarity))
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select("first.key")
+    named = "__key"
+    return docs.withColumn(named, F.xxhash64("doc_id", "text")).join(first.withColumnRenamed("key", named), named, "left_semi").drop(named)

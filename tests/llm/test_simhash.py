@@ -98,6 +98,7 @@ def test_trees_find_every_pair():
         assert len({leaf for leaf, _, _ in out}) > 4
         for leaf in {x[0] for x in out}:
             at = np.concatenate([i for n, i, _ in out if n == leaf])
-            mine = np.concatenate([m for n, _, m in out if n == leaf])
+            mine = np.concatenate([m for n, _, m in out if n == leaf])[np.argsort(at)]
+            at = np.sort(at)
             linked(fp[at], mine, tries, 3, lambda i, j, at=at: got.add(at[i], at[j]))
     assert (got.label == want.label).all()
