@@ -25,6 +25,8 @@ from .textkit import map_texts, pieces, raw, rolling, stored, word_hashes, words
 WINDOW, GRAM = 20, 6
 #: Suffixes that may share a prefix before it is lengthened.
 GROUP = 20_000
+#: Prefixes to be lengthened that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 100_000
 _LOW = np.uint64((1 << 31) - 1)
 
 
@@ -219,12 +221,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     anchors = _repeated_anchors(docs, window, gram)
     found = stored(_windows(docs.select("doc_id", "k", "text").join(anchors, "k"), window, gram))
     open_ = found.where("NOT gone")
-    crowded = open_.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.lit(True).alias("crowded"))
-    dealt = open_.join(crowded, "key", "left")
-    few = dealt.where("crowded IS NULL").select("key", "doc_id", "k", "places", "ws")
-    many = dealt.where("crowded").select("doc_id", "k", F.explode(F.arrays_zip("places", "ws")).alias("x"))
-    many = many.select(F.col("x.ws").alias("key"), "doc_id", "k", F.array("x.places").alias("places"), F.array("x.ws").alias("ws"))
-    judged = _judged(few.unionByName(many).repartition("key"))
+    crowded = stored(open_.groupBy("key").count().where(F.col("count") > GROUP).select("key"))
+    n = crowded.count()
+    dealt = open_.select("key", "doc_id", "k", "places", "ws")
+    if n:
+        crowded = F.broadcast(crowded) if n <= BROADCAST else crowded
+        many = dealt.join(crowded, "key", "left_semi").select("doc_id", "k", F.explode(F.arrays_zip("places", "ws")).alias("x"))
+        many = many.select(F.col("x.ws").alias("key"), "doc_id", "k", F.array("x.places").alias("places"), F.array("x.ws").alias("ws"))
+        dealt = dealt.join(crowded, "key", "left_anti").unionByName(many)
+    judged = _judged(dealt.repartition("key"))
     return found.where("gone").select("k", "places").unionByName(judged).groupBy("k").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 

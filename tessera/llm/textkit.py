@@ -8,6 +8,7 @@ whole texts: an Arrow batch is cut between documents, never inside one.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -39,10 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors."""
+    """``df`` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors.
+
+    The shuffle files that led to it are of no more use; collecting the driver's garbage lets Spark
+    remove them now instead of whenever the driver's heap fills up.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
