@@ -907,7 +907,7 @@ LEAVES = "leaves AS (SELECT enrolid % 7 AS leaf, annual_cost AS cost, CASE WHEN
     -list_sum([CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END FOR x IN [share_0, share_1, share_2, share_3]]) AS entropy FROM
     (SELECT leaf, count(*) AS n, """ + ", ".join(f"avg(CAST(s = {k} AS INT)) AS share_{k}" for k in range(4)) + ", avg(cost) AS mean_cost, quantile_cont(cost, 0.5) AS median_cost, stddev_pop(cost) AS std_cost FROM leaves GROUP BY leaf)",
     (s.CLAIMS_SQL, ANNUAL, LEAVES),
-    "share_0:9 share_1:9 share_2:9 share_3:9 mean_cost:4 median_cost:4 std_cost:4 entropy:6",
+    "share_0:9 share_1:9 share_2:9 share_3:9 mean_cost:3 median_cost:3 std_cost:2 entropy:6",
 )
 def leaf_strata(spark, d):
     rows = cohort.annual_costs(s.claims(spark, d), {Y0: 1.0}).select((F.col("enrolid") % 7).alias("leaf"), F.col("annual_cost").alias("cost"))
