@@ -27,7 +27,7 @@ START_TEXTS, START_ROUNDS, ROUNDS = 1_000, 10, 2
 #: Weight of the class frequencies in each state's emissions, and of an even start in transitions.
 PRIOR, EVEN = 50.0, 5.0
 #: Hash that stands for the end of a text; bytes of text handled at once.
-END, PIECE = 1, 6 << 20
+END, PIECE = 1, 2 << 20
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
