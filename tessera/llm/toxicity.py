@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, kept_out, map_texts, raw, word_hashes, words_of
+from .textkit import LOWER, kept_out, map_texts, pieces, raw, word_hashes, words_of
 
 #: Labelled rows of either class that are learned from at most: those whose hashed ids come first.
-LABELLED = 3_000
+LABELLED = 2_000
+#: Bytes of text that are encoded, and table rows that are scored, at once while learning.
+PIECE, ROWS = 1 << 20, 200_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 4, 6, (1, 2, 3)
 #: Opening bytes of a word that have a table each, beside the whole word.
 OPENINGS = (4, 5, 6, 7)
@@ -110,7 +112,11 @@ def _clusters(profile: np.ndarray, k: int) -> np.ndarray:
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Model:
     """A model of the given texts (whole) and labels; a fifth of them only sets the thresholds."""
     rng = np.random.default_rng(seed)
-    at, offsets, profile = encode(texts)
+    parts = [encode(b.column(0)) for b in pieces(pa.record_batch([texts], ["text"]), "text", PIECE)]
+    at = np.concatenate([p[0] for p in parts], 1) if parts else np.zeros((SIDES, 0), np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]) if parts else [])]).astype(np.int64)
+    profile = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, 65), np.float32)
+    del parts
     n = len(toxic)
     hidden = SIDES * DIM
     model = Model(
@@ -194,7 +200,9 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Model:
                 squares[side][bucket] += g * g
                 model.tables[side][bucket] -= RATE * g / (np.sqrt(squares[side][bucket]) + 1e-6)
     model.out_bias = float(bias[0])
-    z = model.logits(at, offsets)
+    cuts = np.unique(np.searchsorted(offsets, np.arange(0, offsets[-1] + ROWS, ROWS)).clip(0, n))
+    z = np.concatenate([model.logits(at[:, offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(cuts, cuts[1:], strict=False)])
+    del at
     group = model.cluster(profile)
     general = _threshold(z, toxic)
     model.thresholds[:] = general
