@@ -16,7 +16,7 @@ from tessera.llm.toxicity import learn, scored
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5, learned from all labelled documents."""
     model = learn(docs, table(spark, sf_dir, "labels"), held=None)
-    return scored(docs, model, *docs.columns).where("score < 0.5").drop("score")
+    return scored(docs, model, *docs.columns, name="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def hmm_scores(docs: DataFrame, held: int = 0, modulus: int = 10, top: int = TOP
     learn from all counts are 0.  Repeated rows keep their rows; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), kept_out(held, modulus).alias("held"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), kept_out(held, modulus).alias("held"))
     counts = stored(word_counts(rows))
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("w") == END, F.col("c"))), F.lit(0))).first()
     most = counts.where(F.col("w") != END).orderBy(F.desc("c"), "w").limit(top).collect()

@@ -240,16 +240,17 @@ def _covered(places: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def _with_repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    keyed = docs.withColumn("k", _key())
-    ids = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "k")
-    return keyed.join(repeats(ids, window, gram), "k", "left")
+    """``docs`` and __k, __places."""
+    keyed = docs.withColumn("__k", _key())
+    ids = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("__k").alias("k"))
+    return keyed.join(repeats(ids, window, gram).withColumnsRenamed({"k": "__k", "places": "__places"}), "__k", "left")
 
 
 def _rows(piece, window):
     """For each row: its text's bytes, its words, and which of them go."""
     data, ends = raw(piece.column("text"))
     starts, stops, at = words_of(data, ends)
-    marks = piece.column("places")
+    marks = piece.column("__places")
     flat, offsets = marks.values.to_numpy() if len(marks.values) else np.empty(0, np.int32), marks.offsets.to_numpy()
     lengths = np.where(marks.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
     for r in range(piece.num_rows):
@@ -279,7 +280,7 @@ def substring_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return map_texts(_with_repeats(docs.select("doc_id", "text"), window, gram), kernel, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_texts(_with_repeats(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), window, gram), kernel, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -307,8 +308,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         cols = [pa.array(texts, pa.string()) if c == "text" else piece.column(c) for c in schema.names]
         return pa.RecordBatch.from_arrays(cols, schema.names).filter(pa.array(keep))
 
-    own = [c for c in docs.columns if c not in ("k", "places")]
-    if len(own) < len(docs.columns):
-        raise ValueError("columns named k or places have to be renamed first")
-    out = map_texts(_with_repeats(docs, window, gram).select(*docs.columns, "places"), kernel, schema)
+    out = map_texts(_with_repeats(docs, window, gram).select(*docs.columns, "__places"), kernel, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

@@ -239,15 +239,15 @@ def learn(docs: DataFrame, labels: DataFrame, held: int | None = 0, modulus: int
     return train(texts, np.array(got.column("toxic").to_pylist(), np.int64))
 
 
-def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` and score (0 to 1) of each whole text; null texts count as empty.  The model's size is fixed by its tables."""
+def scored(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """``keep`` and ``name``, the score (0 to 1) of each whole text; null texts count as empty.  The model's size is fixed by its tables."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
 
     def kernel(piece):
-        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(sent.value.scores(piece.column("text")))], [*keep, "score"])
+        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(sent.value.scores(piece.column("text")))], [*keep, name])
 
-    return map_texts(docs.select(*dict.fromkeys([*keep, "text"])), kernel, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", score double")
+    return map_texts(docs.select(*dict.fromkeys([*keep, "text"])), kernel, ", ".join(f"`{c}` {types[c]}" for c in keep) + f", `{name}` double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
