@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import claims as fc
-from ..operators import adherence, cohort, costs, curate, distance, metrics, onehot, prepare, profile, reports, resample
+from ..functions import names
+from ..operators import adherence, cohort, costs, curate, distance, experiments, metrics, onehot, prepare, profile, reports, resample
 from ..streaming import events as stream
 from . import standins as s
 from .features import cohort_features
@@ -951,6 +952,105 @@ def ranked_costs(spark, d):
     return reports.ranked(s.claims(spark, d).groupBy("dx2").agg(F.sum("netpay").alias("cost")), "cost", "dx2")
 
 
+# -- experiments ----------------------------------------------------------------------------------
+
+ROLES = {"binary": ["has_income", "odd"], "categorical": ["region"], "numeric": ["income"]}
+
+
+@query(
+    """SELECT a.enrolid AS a_id, b.enrolid AS b_id, (abs(a.has_income - b.has_income) + abs(a.odd - b.odd) + """
+    + " + ".join(f"CAST((a.region = '{r}') != (b.region = '{r}') AS INT)" for r in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+    + """ + abs(a.income - b.income) / r) / 7 AS dist FROM mixed a, mixed b, (SELECT max(income) - min(income) AS r FROM mixed) WHERE a.enrolid < 100 AND b.enrolid >= 100 AND b.enrolid < 140""",
+    (s.ENROLLMENT_SQL, MIXED),
+    "dist:6",
+)
+def gower_distances(spark, d):
+    rows = _mixed(spark, d)
+    return experiments.distances_for("gower", rows.where("enrolid < 100"), rows.where("enrolid >= 100 AND enrolid < 140"), rows, ROLES, "enrolid")
+
+
+@query(
+    "SELECT target, auc, average_precision FROM (SELECT 'y' AS target, sum(pos * ((q - fp) + (n - pos) / 2.0)) / max(p * q) AS auc, sum(pos * tp / (tp + fp)) / max(p) AS average_precision FROM run UNION ALL SELECT 'z', sum(pos * ((q - fp) + (n - pos) / 2.0)) / max(p * q), sum(pos * tp / (tp + fp)) / max(p) FROM run_z)",
+    (s.SCORED_SQL, RUN, RUN.replace("run AS", "run_z AS").replace("sum(y) AS pos", "sum(1 - y) AS pos")),
+    "auc:9 average_precision:9",
+)
+def reevaluated_targets(spark, d):
+    return experiments.reevaluated(s.scored(spark, d).withColumn("z", 1 - F.col("y")), ["y", "z"])
+
+
+@query(
+    f"SELECT (SELECT {AUC} FROM run) AS auc, (SELECT sum(pos * tp / (tp + fp)) / max(p) FROM run) AS average_precision, t AS threshold, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tn / (tn + fp) AS specificity FROM (SELECT 2.0::DOUBLE AS t, count(*) FILTER (score >= 2 AND y = 1) AS tp, count(*) FILTER (score >= 2 AND y = 0) AS fp, count(*) FILTER (score < 2 AND y = 0) AS tn, count(*) FILTER (score < 2 AND y = 1) AS fn FROM scored)",
+    (s.SCORED_SQL, RUN),
+    "auc:9 average_precision:9 precision:9 recall:9 f1:9 specificity:9",
+)
+def classifier_report(spark, d):
+    return experiments.classifier_report(s.scored(spark, d), threshold=2.0)
+
+
+@query("SELECT 'asia' AS set, count(*) AS n, avg(income) AS mean, quantile_cont(income, 0.25) AS q25, quantile_cont(income, 0.5) AS median, quantile_cont(income, 0.75) AS q75 FROM enrollment WHERE region = 'ASIA' UNION ALL SELECT 'all', count(*), avg(income), quantile_cont(income, 0.25), quantile_cont(income, 0.5), quantile_cont(income, 0.75) FROM enrollment", (s.ENROLLMENT_SQL,), "mean:4 q25:4 median:4 q75:4")
+def cost_sets(spark, d):
+    e = s.enrollment(spark, d)
+    ids = lambda x: x.select(F.col("enrolid").alias("id"))
+    return experiments.cost_sets(e, {"asia": ids(e.where("region = 'ASIA'")), "all": ids(e)}, "income", "enrolid")
+
+
+@query("SELECT CASE WHEN region = 'ASIA' THEN 'asia' ELSE 'rest' END AS set, 'income' AS feature, (income - m) / sd AS value FROM enrollment, (SELECT avg(income) AS m, stddev_pop(income) AS sd FROM enrollment)", (s.ENROLLMENT_SQL,), "value:6")
+def scaled_long(spark, d):
+    e = s.enrollment(spark, d)
+    return experiments.scaled_long({"asia": e.where("region = 'ASIA'"), "rest": e.where("region != 'ASIA'")}, ["income"])
+
+
+@query(f"SELECT enrolid, quarter(svcdate) AS quarter, max(st) AS max_stage, avg(st) AS mean_stage, count(DISTINCT month(svcdate)) AS months, count(st) AS n_staged, count(*) - count(st) AS n_unstaged FROM (SELECT *, {STAGE} AS st FROM staged) GROUP BY ALL", (s.CLAIMS_SQL, STAGED), "mean_stage:9")
+def quarterly_stage(spark, d):
+    return experiments.quarterly_stage(_staged(spark, d), "enrolid", "svcdate", fc.disease_stage(["dx1", "dx2"]))
+
+
+@query("SELECT a_id, avg(dist) AS mean_dist FROM (SELECT b_id AS a_id, dist, row_number() OVER (PARTITION BY b_id ORDER BY dist, a_id) AS k FROM pairs) WHERE k <= 3 GROUP BY a_id", (s.VECTORS_SQL, EUCLID), "mean_dist:6")
+def nearest_mean(spark, d):
+    controls, cases = _split(spark, d)
+    return experiments.nearest_mean(distance.nearest(cases, controls, 5), 3)
+
+
+@query("SELECT dx1 AS class, dx2 AS feature, avg(abs(netpay)) AS mean_abs FROM claims GROUP BY dx1, dx2 QUALIFY row_number() OVER (PARTITION BY dx1 ORDER BY avg(abs(netpay)) DESC, dx2) <= 3", (s.CLAIMS_SQL,), "mean_abs:4")
+def top_features(spark, d):
+    return experiments.top_features(s.claims(spark, d).select(F.col("dx1").alias("class"), F.col("dx2").alias("feature"), F.col("netpay").alias("value")), 3)
+
+
+@query("SELECT enrolid, income, coalesce(y, 0) AS y FROM enrollment LEFT JOIN (SELECT DISTINCT enrolid, 1 AS y FROM claims WHERE year(svcdate) = 1997) USING (enrolid)", (s.CLAIMS_SQL, s.ENROLLMENT_SQL))
+def refreshed_labels(spark, d):
+    e = s.enrollment(spark, d).select("enrolid", "income", F.lit(7).alias("y"))
+    return experiments.refreshed(e, _base(spark, d).select("enrolid", F.lit(1).alias("y")).distinct(), "enrolid")
+
+
+@query()
+def curated_sample(spark, d):
+    return experiments.curated(s.vectors(spark, d), seed_method="centroid")["controls"]
+
+
+@query()
+def pool_sweep(spark, d):
+    return experiments.pool_sweep(s.vectors(spark, d), [100, 200])
+
+
+@query()
+def feature_set_ablation(spark, d):
+    v = s.vectors(spark, d)
+    return experiments.ablation({"front": v.withColumn("v", F.slice("v", 1, 16)), "back": v.withColumn("v", F.slice("v", 17, 48))}, 120)
+
+
+@query()
+def ratio_sweep(spark, d):
+    controls, cases = _split(spark, d)
+    return experiments.ratio_sweep(cases, controls, [0.5, 1, 2], lambda c, n: curate.random_ids(c, n, "vec_id", 1), "vec_id")
+
+
+@query()
+def phenotype_features(spark, d):
+    df = cohort_feature_table(spark, d)
+    out, columns = names.phenotype_features(df, [c for c in df.columns if c.startswith("has_")], names.PRESETS[1], "1998")
+    return out.select("enrolid", *columns)
+
+
 # -- extras ---------------------------------------------------------------------------------------
 
 
