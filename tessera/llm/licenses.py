@@ -101,3 +101,37 @@ def scan_licenses(docs: DataFrame, **how) -> DataFrame:
         )
         .drop("rid")
     )
+
+
+def licenses_sql(base=BASE, templates=TEMPLATES, enough: float = ENOUGH, step: int = STEP) -> str:
+    """:func:`scan_licenses` as SQL over a table named documents."""
+    rows = []
+    for tid, (text, label, is_base) in enumerate([(*x, "true") for x in base] + [(*x, "false") for x in templates]):
+        words = text.split()
+        rows += [f"({tid}, '{label}', {is_base}, {len(words) - 1}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    return f"""
+WITH t(tid, label, base, pairs, j, a, b) AS (VALUES {", ".join(rows)}), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), g AS (
+  SELECT rid, unnest(range(1, len(w))) AS i, w FROM d
+), v AS (
+  SELECT rid, tid, label, base, pairs, i - 1 - j AS diag, count(*) AS votes, min(i - 1) AS lo, max(i - 1) AS hi
+  FROM g JOIN t ON w[i] = a AND w[i + 1] = b GROUP BY ALL
+), u AS (
+  SELECT *, CASE WHEN base OR diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) > {step} THEN 1 ELSE 0 END AS apart FROM v
+), r AS (
+  SELECT *, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diag) AS run FROM u
+), s AS (
+  SELECT rid, label, base, pairs, sum(votes) AS votes, min(lo) AS start, max(hi) + 2 AS stop FROM r GROUP BY rid, tid, label, base, pairs, run
+), e AS (
+  SELECT *, least(1.0::DOUBLE, CAST(votes AS DOUBLE) / pairs) AS cover FROM s
+  WHERE CASE WHEN base THEN votes = pairs ELSE least(1.0::DOUBLE, CAST(votes AS DOUBLE) / pairs) >= {enough} AND stop - start <= pairs + 1 + {step} * pairs / 4 END
+), m AS (
+  SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score
+  FROM e GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN m USING (rid)
+"""

@@ -10,11 +10,11 @@ from .decontam import CONTAMINATED_SQL, contaminated
 from .hmm import hmm_scores
 from .html import extract_pages
 from .langid import language_report
-from .licenses import scan_licenses
+from .licenses import licenses_sql, scan_licenses
 from .mixing import MIX_SQL, mix_report
 from .quality import quality_report
 from .simhash import simhash_components
-from .substrings import substring_report
+from .substrings import SUBSTRING_SQL, substring_report
 from .textkit import table
 from .toxicity import toxicity_report
 
@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {"op4_decontamination": CONTAMINATED_SQL, "op5_mix_sources": MIX_SQL}
+ORACLES: dict[str, str] = {"op4_decontamination": CONTAMINATED_SQL, "op5_mix_sources": MIX_SQL, "op3_license_scan": licenses_sql(), "op8_substring_dedup": SUBSTRING_SQL}

@@ -310,3 +310,22 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     out = map_texts(_with_repeats(docs, window, gram).select(*docs.columns, "__places"), kernel, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+
+
+SUBSTRING_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), p AS (
+  SELECT rid, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), k AS (
+  SELECT rid, doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS grams FROM p
+), f AS (
+  SELECT *, grams IS NOT NULL AND row_number() OVER (PARTITION BY grams ORDER BY doc_id, i) > 1 AS again FROM k
+), c AS (
+  SELECT *, sum(CAST(again AS INT)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 0 AS gone FROM f
+), s AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (rid)
+"""
