@@ -147,17 +147,33 @@ def distance_rows(rows: DataFrame, others: DataFrame, metric: str = "euclidean",
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", key: str = "vec_id", skip_self: bool = True) -> DataFrame:
     """a_id (query), b_id, dist, rank: the k nearest rows of each query, ties by id.
 
-    Every batch of rows keeps its best k a query, so what is shuffled is k a query and batch.
+    Every task keeps its best k a query over all its batches, so what is shuffled is k a query and task.
     """
+    schema, near = "a_id bigint, b_id bigint, dist double", None
+    for query_ids, block in _blocks(queries, key):
+        sent = rows.sparkSession.sparkContext.broadcast((query_ids, block))
 
-    def work(ids, m, query_ids, block):
-        d = kernel(block, m, metric)
-        if skip_self:
-            d[query_ids[:, None] == ids[None]] = np.inf
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        return pd.DataFrame({"a_id": np.repeat(query_ids, order.shape[1]), "b_id": ids[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()})
+        def run(batches, sent=sent):
+            query_ids, block = sent.value
+            step = max(1, STEP // max(1, len(query_ids)))
+            best_d, best_i = np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), np.int64)
+            for b in batches:
+                for s in range(0, len(b), step):
+                    part = b.iloc[s : s + step]
+                    ids = part[key].to_numpy()
+                    d = kernel(block, np.stack(part["v"].to_numpy()).astype(float), metric)
+                    if skip_self:
+                        d[query_ids[:, None] == ids[None]] = np.inf
+                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(ids, d.shape)], 1)
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            real = np.isfinite(best_d)
+            yield pd.DataFrame({"a_id": np.repeat(query_ids, real.sum(1)), "b_id": best_i[real], "dist": best_d[real]})
 
-    near = _mapped(rows, queries, key, work, "a_id bigint, b_id bigint, dist double").where("dist < double('Infinity')")
+        part = rows.select(key, "v").mapInPandas(run, schema)
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        return rows.sparkSession.createDataFrame([], schema + ", rank int")
     best = near.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "b_id"))), 1, k).alias("best"))
     return best.select("a_id", F.posexplode("best").alias("pos", "x")).select("a_id", F.col("x.b_id").alias("b_id"), F.col("x.dist").alias("dist"), (F.col("pos") + 1).alias("rank"))
 

@@ -286,8 +286,11 @@ def hardness(near_minority: DataFrame, near_majority: DataFrame) -> DataFrame:
     nearest_k = F.slice(F.array_sort(F.concat(F.transform("x", lambda d: F.struct(d.alias("d"), F.lit(1).alias("m"))), F.transform("y", lambda d: F.struct(d.alias("d"), F.lit(0).alias("m"))))), F.lit(1), k)
     share = F.aggregate(nearest_k, F.lit(0.0), lambda s, v: s + v["m"]) / k
     out = both.select(F.col("a_id").alias("id"), "d_min", "d_maj", F.try_divide("d_maj", F.col("d_min") + 1e-12).alias("ratio"), (F.col("d_maj") - F.col("d_min")).alias("margin"), share.alias("minority_share"))
-    top = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(Window.partitionBy())), F.lit(0.0))
-    return out.withColumn("composite", 0.33 * top("ratio") + 0.33 * top("margin") + 0.34 * top("minority_share"))
+    parts = ("ratio", "margin", "minority_share")
+    most = F.broadcast(out.agg(*(F.max(c).alias(f"__{c}") for c in parts)))  # one row
+    top = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"__{c}")), F.lit(0.0))
+    composite = 0.33 * top("ratio") + 0.33 * top("margin") + 0.34 * top("minority_share")
+    return out.crossJoin(most).withColumn("composite", composite).drop(*(f"__{c}" for c in parts))
 
 
 def hard_subset(df: DataFrame, percent: float, hardness_column: str = "composite", target: str = "y") -> DataFrame:

@@ -16,16 +16,59 @@ def hash_order(key: str, seed: int) -> list[Column]:
     return [F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), F.col(key)]
 
 
+#: Leading hex digits of the hash that make a bucket; strata and cuts that are broadcast at most.
+BUCKET_DIGITS, BROADCAST_CUTS = 3, 10_000
+
+
+def hash_cuts(df: DataFrame, by: str, ranks: dict[str, Column], key: str, seed: int) -> DataFrame:
+    """stratum, name, n, rank, h, id: of each stratum the row at each named rank of the hash order (null where the rank is 0 or less).
+
+    ``ranks`` are expressions of n, the stratum's size.  Counts by hash bucket find the bucket that a
+    rank falls into, and only those buckets' rows are ordered: no task holds a whole stratum.
+    """
+    order = hash_order(key, seed)
+    keyed = df.select(F.col(by).alias("stratum"), F.col(key).alias("id"), order[0].alias("h"))
+    bucket = F.substring("h", 1, BUCKET_DIGITS)
+    counts = keyed.groupBy("stratum", bucket.alias("b")).agg(F.count("*").alias("c"))
+    run, whole = Window.partitionBy("stratum").orderBy("b"), Window.partitionBy("stratum")
+    cum = counts.select("stratum", "b", "c", (F.sum("c").over(run) - F.col("c")).alias("start"), F.sum("c").over(whole).alias("n"))
+    named = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.least(rank.cast("bigint"), F.col("n")).alias("rank")) for name, rank in ranks.items())))
+    wanted = cum.withColumn("x", named).select("stratum", "b", "c", "start", "n", "x.name", "x.rank")
+    sizes = wanted.select("stratum", "name", "n", "rank").distinct()
+    at = wanted.where("start < rank AND rank <= start + c")
+    rows = keyed.withColumn("b2", bucket).join(F.broadcast(at) if at.count() <= BROADCAST_CUTS else at, (F.col("b2") == F.col("b")) & keyed["stratum"].eqNullSafe(at["stratum"]))
+    place = F.row_number().over(Window.partitionBy(at["stratum"], "name", "b").orderBy("h", "id"))
+    hit = rows.select(at["stratum"].alias("s"), F.col("name").alias("cut"), "h", "id", (F.col("start") + place).alias("place"), F.col("rank").alias("r")).where("place = r")
+    return sizes.join(hit, sizes["stratum"].eqNullSafe(hit["s"]) & (sizes["name"] == hit["cut"]), "left").select("stratum", "name", "n", "rank", "h", "id")
+
+
+def _below(df: DataFrame, by: str, ranks: dict[str, Column], key: str, seed: int) -> DataFrame:
+    """``df`` with one boolean column a named rank: whether the row is among the stratum's first."""
+    cuts = hash_cuts(df, by, ranks, key, seed).groupBy(F.col("stratum").alias("__s")).pivot("name", list(ranks)).agg(F.first(F.struct("h", "id")))
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_CUTS else cuts
+    rows = df.withColumn("__h", hash_order(key, seed)[0]).join(cuts, F.col(by).eqNullSafe(F.col("__s")))
+    test = lambda n: (F.col("__h") < F.col(f"`{n}`.h")) | ((F.col("__h") == F.col(f"`{n}`.h")) & (F.col(key) <= F.col(f"`{n}`.id")))
+    return rows.select(*df.columns, *(F.coalesce(test(n), F.lit(False)).alias(n) for n in ranks))
+
+
 def stratified_split(df: DataFrame, target: str, shares: Sequence[float] = (0.7, 0.15, 0.15), names: Sequence[str] = ("train", "val", "test"), key: str = "enrolid", seed: int = 0) -> DataFrame:
     """key, target, split: within each stratum ids in hash order are cut at round(n * share)."""
-    w = Window.partitionBy(target)
-    ranked = df.select(key, target, F.row_number().over(w.orderBy(*hash_order(key, seed))).alias("r"), F.count("*").over(w).alias("n"))
-    chain, done = None, 0.0
+    ranks, done = {}, 0.0
     for share, name in zip(shares[:-1], names[:-1], strict=True):
         done += share
-        test = F.col("r") <= F.round(F.col("n") * F.lit(round(done, 9)))
-        chain = F.when(test, name) if chain is None else chain.when(test, name)
-    return ranked.select(key, target, (F.lit(names[-1]) if chain is None else chain.otherwise(names[-1])).alias("split"))
+        ranks[f"__{name}"] = F.round(F.col("n") * F.lit(round(done, 9)))
+    rows = _below(df.select(key, target), target, ranks, key, seed)
+    chain = F.lit(names[-1])
+    for name in reversed(names[:-1]):
+        chain = F.when(F.col(f"__{name}"), name).otherwise(chain)
+    return rows.select(key, target, chain.alias("split"))
+
+
+def first_of_strata(df: DataFrame, by: str, sizes: dict, key: str, seed: int) -> DataFrame:
+    """Of each stratum its first ``sizes[stratum]`` rows in hash order (all of a smaller one, none of one without a size)."""
+    some = df.where(F.col(by).isin(list(sizes)))
+    chain = F.coalesce(*(F.when(F.col("stratum") == v, n) for v, n in sizes.items()))
+    return _below(some, by, {"__in": chain}, key, seed).where("__in").drop("__in")
 
 
 def unique_ids(df: DataFrame, key: str) -> None:
@@ -139,13 +182,14 @@ def warp_z(df: DataFrame, columns: Sequence[str], fit_on: DataFrame) -> DataFram
 def warp_rank(df: DataFrame, column: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Share of values at or below, clipped, less 0.5.
 
-    Counts by distinct value are summed in order, so ties agree and rows are never ordered one by one.
+    Counts by distinct value are summed in score buckets, so ties agree and no task orders all values.
     """
-    n = df.groupBy(column).agg(F.count("*").alias("n"))
-    w = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    share = n.select(F.col(column).alias("x"), (F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("p"))
-    ranked = df.join(share, F.col(column).eqNullSafe(F.col("x")), "left").drop("x")
-    return ranked.withColumn(column, F.least(F.greatest(F.col("p"), F.lit(low)), F.lit(high)) - 0.5).drop("p")
+    from .metrics import running
+
+    n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("score")).agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("pos"))
+    share = running(n).select(F.col("score").alias("__x"), ((F.col("total_neg") - F.col("fp") + F.col("n")) / F.col("total_neg")).alias("__p"))
+    ranked = df.join(share, F.col(column).cast("double") == F.col("__x"), "left").drop("__x")
+    return ranked.withColumn(column, F.least(F.greatest(F.col("__p"), F.lit(low)), F.lit(high)) - 0.5).drop("__p")
 
 
 def tfidf(df: DataFrame, key: str, term: str) -> DataFrame:

@@ -69,16 +69,21 @@ def random_undersampled(df: DataFrame, target: str, key: str, seed: int) -> Data
 
 
 def smote(vectors: DataFrame, n_new: int, k: int = 5, key="vec_id", target="target", metric="euclidean", seed: int = 0) -> DataFrame:
-    """n_new synthetic minority rows: base_id, near_id, gap, v = base + gap * (neighbour - base), draws by hash."""
+    """n_new synthetic minority rows: base_id, near_id, gap, v = base + gap * (neighbour - base).
+
+    Every minority row stands in for as many new ones as it takes, the first n_new by hash are made;
+    neighbours and gaps are drawn by hash as well.
+    """
     minority = vectors.where(F.col(target) == 1).select(key, "v")
     n = minority.count()
+    if not n:
+        raise ValueError("no minority rows")
     near = nearest(minority, minority, k, metric, key).groupBy("a_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "b_id"))).alias("near"))
-    ids = minority.select(key).withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
-    draw = lambda salt, most: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("i")), F.lit(most))
-    new = minority.sparkSession.range(n_new).withColumnRenamed("id", "i").withColumn("place", draw(1, max(1, n)))
-    new = new.join(ids, "place").join(near, F.col(key) == F.col("a_id"))
-    new = new.withColumn("near_id", F.element_at("near", (F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "i"), F.size("near")) + 1).cast("int"))).withColumn("gap", draw(3, 1_000_000) / 1e6)
+    hashed = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), F.col("copy"))
+    new = minority.select(key, F.explode(F.sequence(F.lit(1), F.lit(-(-n_new // n)))).alias("copy")).orderBy(hashed(1), key, "copy").limit(n_new)
+    new = new.join(near, F.col(key) == F.col("a_id"))
+    new = new.withColumn("near_id", F.element_at("near", (F.pmod(hashed(2), F.size("near")) + 1).cast("int"))).withColumn("gap", F.pmod(hashed(3), F.lit(1_000_000)) / 1e6)
     base = minority.select(F.col(key).alias("base_id"), F.col("v").alias("a"))
     other = minority.select(F.col(key).alias("near_id"), F.col("v").alias("b"))
-    rows = new.select("i", F.col(key).alias("base_id"), "near_id", "gap").join(base, "base_id").join(other, "near_id")
-    return rows.select("i", "base_id", "near_id", "gap", F.zip_with("a", "b", lambda x, y: x + F.col("gap") * (y - x)).alias("v"))
+    rows = new.select(F.col(key).alias("base_id"), "copy", "near_id", "gap").join(base, "base_id").join(other, "near_id")
+    return rows.select("base_id", "copy", "near_id", "gap", F.zip_with("a", "b", lambda x, y: x + F.col("gap") * (y - x)).alias("v"))
