@@ -271,6 +271,50 @@ def bootstrap_excess(df: DataFrame, leaf="leaf", score="score", y="y", replicate
     return draws.agg(F.max(F.when(F.col("id") == 0, F.col("excess"))).alias("estimate"), F.percentile(ok, alpha / 2).alias("low"), F.percentile(ok, 1 - alpha / 2).alias("high"), F.avg((ok <= 0).cast("double")).alias("p_greater"))
 
 
+def bootstrap_scores(df: DataFrame, scores: Sequence[str], y="y", replicates: int = 2000, alpha: float = 0.05, seed: int = 42, most: int = 1_000_000) -> DataFrame:
+    """measure, estimate, low, high, p_greater, p_two_sided of the AUC and the average precision of one score, or of the difference of two.
+
+    Rows are summed to cells of equal scores and label; a replicate is a multinomial draw over the cells.
+    Replicates of one class are left out.  p_greater is the share of replicates at or below 0.
+    """
+    import numpy as np
+    import pandas as pd
+
+    cells = df.groupBy(*(F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores)), F.col(y).cast("int").alias("y")).agg(F.count("*").alias("n")).na.drop()
+    if cells.count() > most:
+        raise ValueError("too many distinct scores for the bootstrap; round them first")
+    frame = cells.orderBy(*cells.columns).toPandas()
+    sent = df.sparkSession.sparkContext.broadcast(frame)
+
+    def both(score: np.ndarray, label: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+        value, at = np.unique(score, return_inverse=True)
+        pos, neg = np.bincount(at, n * label, len(value)), np.bincount(at, n * (1 - label), len(value))
+        if not pos.sum() or not neg.sum():
+            return float("nan"), float("nan")
+        auc = (pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum())
+        tp, fp = np.cumsum(pos[::-1])[::-1], np.cumsum(neg[::-1])[::-1]
+        return auc, (pos * np.divide(tp, tp + fp, out=np.zeros_like(tp), where=tp + fp > 0)).sum() / pos.sum()
+
+    def run(batches):
+        f = sent.value
+        n, label = f.n.to_numpy(), f.y.to_numpy()
+        for b in batches:
+            out = []
+            for i in b["id"]:
+                draw = n if i == 0 else np.random.default_rng([seed, int(i)]).multinomial(n.sum(), n / n.sum())
+                got = [both(f[f"s{k}"].to_numpy(), label, draw) for k in range(len(scores))]
+                out.append(np.subtract(got[0], got[1]) if len(got) == 2 else got[0])
+            yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), 2), "measure": ["auc", "average_precision"] * len(b), "v": np.ravel(out)})
+
+    draws = df.sparkSession.range(0, replicates + 1, 1, 16).mapInPandas(run, "id bigint, measure string, v double")
+    ok = F.when((F.col("id") > 0) & ~F.isnan("v"), F.col("v"))
+    below, above = F.avg((ok <= 0).cast("double")), F.avg((ok >= 0).cast("double"))
+    return draws.groupBy("measure").agg(
+        F.max(F.when(F.col("id") == 0, F.col("v"))).alias("estimate"), F.percentile(ok, alpha / 2).alias("low"), F.percentile(ok, 1 - alpha / 2).alias("high"),
+        below.alias("p_greater"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p_two_sided"),
+    )
+
+
 # -- hardness and gating ----------------------------------------------------------------------------
 
 

@@ -878,6 +878,11 @@ def bootstrap_excess(spark, d):
     return metrics.bootstrap_excess(s.scored(spark, d), replicates=200)
 
 
+@query()
+def bootstrap_difference(spark, d):
+    return metrics.bootstrap_scores(s.scored(spark, d), ["score", "score_b"], replicates=200)
+
+
 @query()
 def hardness(spark, d):
     controls, cases = _split(spark, d)

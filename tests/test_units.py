@@ -263,6 +263,51 @@ def test_bootstrap(spark):
     assert r.estimate == pytest.approx(metrics.weighted_excess_auc(df).first().excess) and r.low < r.estimate < r.high and 0 <= r.p_greater <= 1
 
 
+def test_bootstrap_of_scores(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), int(rng.random() < 0.1 + 0.15 * a)) for a, b in rng.integers(0, 5, (600, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    one = {r.measure: r for r in metrics.bootstrap_scores(df, ["a"], replicates=100).collect()}
+    assert one["auc"].estimate == pytest.approx(metrics.roc_auc(df, "a").first()[0]) and one["auc"].low < one["auc"].estimate < one["auc"].high
+    assert one["average_precision"].estimate == pytest.approx(metrics.average_precision(df, "a").first()[0])
+    two = {r.measure: r for r in metrics.bootstrap_scores(df, ["a", "b"], replicates=100).collect()}
+    assert two["auc"].p_greater < 0.05 and two["auc"].estimate == pytest.approx(one["auc"].estimate - metrics.roc_auc(df, "b").first()[0])
+
+
+def test_leaf_choice_and_split_tables(spark):
+    leaves = spark.createDataFrame([(1, 50, 0.1), (2, 40, 0.2), (3, 5, 1.9), (4, 6, 1.0)], "leaf int, n int, entropy double")
+    assert [r.leaf for r in reports.selected_leaves(leaves, "leaf", 2).collect()] == [1, 2]
+    assert sorted(r.leaf for r in reports.selected_leaves(leaves, "leaf", 4, "diverse").collect()) == [1, 2, 3, 4]
+    a = spark.createDataFrame([("root", "x"), ("L", "y")], "path string, feature string")
+    d = {r.path: (r.feature_a, r.feature_b, r.in_a, r.in_b) for r in reports.split_difference(a, a.where("path = 'root'")).collect()}
+    assert d == {"root": ("x", "x", 1, 1), "L": ("y", None, 1, 0)} and reports.split_usage(a).count() == 2
+    assert [r.v for r in reports.in_order(spark.createDataFrame([("a",), ("b",), ("c",)], "v string"), "v", ["c", "a"]).collect()] == ["c", "a", "b"]
+
+
+def test_down_sampling(spark):
+    df = spark.range(4000).selectExpr("id AS enrolid", "CAST(id % 4 = 0 AS INT) AS y")
+    out = cohort.down_sample(df, "y", 1000, 800)
+    assert cohort.down_sample(df, "y", 5000, 800).count() == 4000 and 650 < out.count() < 950
+    assert 0.2 < out.agg(F.avg("y")).first()[0] < 0.3
+
+
+def test_strata_cuts_match_a_plain_ranking(spark):
+    df = spark.range(900).selectExpr("id AS enrolid", "CASE WHEN id % 10 = 0 THEN NULL ELSE id % 3 END AS g")
+    split = {r.enrolid: r.split for r in prepare.stratified_split(df, "g", (0.5, 0.5), ("a", "b")).collect()}
+    from hashlib import sha256
+
+    for g in (None, 0, 1, 2):
+        ids = sorted((i for i in range(900) if (None if i % 10 == 0 else i % 3) == g), key=lambda i: sha256(f"0:{i}".encode()).hexdigest())
+        assert [split[i] for i in ids] == ["a"] * round(len(ids) * 0.5 + 1e-9) + ["b"] * (len(ids) - round(len(ids) * 0.5 + 1e-9))
+    assert prepare.first_of_strata(df, "g", {0: 10, 1: 10_000}, "enrolid", 0).groupBy("g").count().orderBy("g").collect()[0]["count"] == 10
+
+
+def test_hard_subsets_and_gates(spark):
+    df = spark.createDataFrame([(i, i / 100, int(i % 10 == 0)) for i in range(100)], "id int, composite double, y int")
+    assert metrics.hard_subset(df, 10).where("y = 0").count() == 9
+    assert [r.hybrid for r in metrics.gated(df.limit(2), "composite", 0.01, "id", "y").orderBy("id").collect()] == [1, 1]
+
+
 def test_models(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(float(a), float(b), int(a > 0.5)) for a, b in rng.random((400, 2))], "a double, b double, y int")
