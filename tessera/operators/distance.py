@@ -187,9 +187,19 @@ def tie_diagnostics(distances: DataFrame, unique_least: int = 200, top_most: flo
     return every.crossJoin(top).select("n", "n_unique", mass.alias("top5_mass"), ((F.col("n_unique") < unique_least) | (mass > top_most)).alias("degenerate"))
 
 
-def feature_contributions(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """feature (place from 0), mean and median of the absolute gap over pairs of arrays."""
-    gaps = pairs.select(F.posexplode(F.zip_with(a, b, lambda x, y: F.abs(x - y))).alias("feature", "gap"))
+def sampled_gaps(rows: DataFrame, others: DataFrame, key: str = "vec_id") -> DataFrame:
+    """a_id, b_id, gaps: each row with one of each block of the others (its id modulo their number, in the order of ids)."""
+
+    def work(ids, m, block_ids, block):
+        at = ids % len(block_ids)
+        return pd.DataFrame({"a_id": ids, "b_id": block_ids[at], "gaps": list(np.abs(m - block[at]))})
+
+    return _mapped(rows, others, key, work, "a_id bigint, b_id bigint, gaps array<double>")
+
+
+def feature_contributions(pairs: DataFrame) -> DataFrame:
+    """feature (place from 0), mean and median of the absolute gap over pairs with gaps."""
+    gaps = pairs.select(F.posexplode("gaps").alias("feature", "gap"))
     return gaps.groupBy("feature").agg(F.avg("gap").alias("mean_gap"), F.percentile("gap", 0.5).alias("median_gap"))
 
 

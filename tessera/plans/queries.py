@@ -591,11 +591,13 @@ def tie_diagnostics(spark, d):
     return distance.tie_diagnostics(distance.pairwise(controls, cases, "hamming").withColumn("dist", F.round("dist", 6)))
 
 
-@query("SELECT CAST(i - 1 AS INT) AS feature, avg(abs(va[i] - vb[i])) AS mean_gap, quantile_cont(abs(va[i] - vb[i]), 0.5) AS median_gap FROM pairs, range(1, 65) t(i) GROUP BY i", (s.VECTORS_SQL, EUCLID), "mean_gap:6 median_gap:6")
+@query(
+    "SELECT CAST(i - 1 AS INT) AS feature, avg(abs(a.v[i] - b.v[i])) AS mean_gap, quantile_cont(abs(a.v[i] - b.v[i]), 0.5) AS median_gap FROM vectors a JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM vectors WHERE target = 1) b ON a.vec_id % b.n = b.place, range(1, 65) t(i) WHERE a.target = 0 GROUP BY i",
+    (s.VECTORS_SQL,),
+    "mean_gap:6 median_gap:6",
+)
 def feature_contributions(spark, d):
-    controls, cases = _split(spark, d)
-    pairs = controls.select(F.col("v").alias("a")).crossJoin(F.broadcast(cases.select(F.col("v").alias("b")).limit(10_000)))  # the minority side, bounded
-    return distance.feature_contributions(pairs)
+    return distance.feature_contributions(distance.sampled_gaps(*_split(spark, d)))
 
 
 @query("SELECT count(DISTINCT vec_id) AS n_ids, true AS square, 0.0::DOUBLE AS diagonal, 0.0::DOUBLE AS asymmetry FROM vectors WHERE target = 1", (s.VECTORS_SQL,), "diagonal:6 asymmetry:6")
@@ -841,7 +843,7 @@ def confusion(spark, d):
 @query()
 def evaluation_record(spark, d):
     rows = s.scored(spark, d)
-    record = metrics.evaluation(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
+    record = metrics.evaluation(rows.where("leaf_b < 3"), rows.where("leaf_b >= 3"))
     return spark.createDataFrame(sorted((k, None if v is None else float(v)) for k, v in record.items()), "metric string, value double")
 
 
@@ -851,13 +853,13 @@ def leaf_rates(spark, d):
 
 
 @query(
-    "SELECT event_id, coalesce(rate, (SELECT avg(y) FROM scored WHERE event_id % 2 = 0 AND leaf < 6)) AS refit_score FROM scored LEFT JOIN (SELECT leaf, avg(y) AS rate FROM scored WHERE event_id % 2 = 0 AND leaf < 6 GROUP BY leaf) USING (leaf) WHERE event_id % 2 = 1",
+    "SELECT event_id, coalesce(rate, (SELECT avg(y) FROM scored WHERE leaf_b < 3)) AS refit_score FROM scored LEFT JOIN (SELECT leaf, avg(y) AS rate FROM scored WHERE leaf_b < 3 GROUP BY leaf) USING (leaf)",
     (s.SCORED_SQL,),
     "refit_score:9",
 )
 def leaf_refit(spark, d):
     rows = s.scored(spark, d)
-    return metrics.refit_scores(rows.where("event_id % 2 = 0 AND leaf < 6"), rows.where("event_id % 2 = 1")).select("event_id", "refit_score")
+    return metrics.refit_scores(rows.where("leaf_b < 3"), rows).select("event_id", "refit_score")
 
 
 EXCESS = f"g AS (SELECT leaf, sum(n) AS n, max(p) AS pos, max(q) AS neg, {AUC} AS auc FROM run GROUP BY leaf)"
@@ -893,14 +895,14 @@ def hardness(spark, d):
 @query()
 def isotonic_calibration(spark, d):
     rows = s.scored(spark, d)
-    return metrics.calibrated(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")).select("event_id", "calibrated")
+    return metrics.calibrated(rows.where("leaf_b < 3"), rows).select("event_id", "calibrated")
 
 
 @query()
 def percentile_gate(spark, d):
     rows = s.scored(spark, d).withColumn("gate", F.col("event_id") % 101)
-    percent, cut = metrics.best_gate(rows.where("event_id % 2 = 0"), "gate", "score", "score_b")
-    return metrics.gated(rows.where("event_id % 2 = 1"), "gate", cut, "score", "score_b").select("event_id", F.lit(percent).alias("percent"), "hybrid")
+    percent, cut = metrics.best_gate(rows.where("leaf_b < 3"), "gate", "score", "score_b")
+    return metrics.gated(rows, "gate", cut, "score", "score_b").select("event_id", F.lit(percent).alias("percent"), "hybrid")
 
 
 # -- reports --------------------------------------------------------------------------------------
@@ -965,13 +967,13 @@ ROLES = {"binary": ["has_income", "odd"], "categorical": ["region"], "numeric":
 @query(
     """SELECT a.enrolid AS a_id, b.enrolid AS b_id, (abs(a.has_income - b.has_income) + abs(a.odd - b.odd) + """
     + " + ".join(f"CAST((a.region = '{r}') != (b.region = '{r}') AS INT)" for r in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
-    + """ + abs(a.income - b.income) / r) / 7 AS dist FROM mixed a, mixed b, (SELECT max(income) - min(income) AS r FROM mixed) WHERE a.enrolid < 100 AND b.enrolid >= 100 AND b.enrolid < 140""",
+    + """ + abs(a.income - b.income) / r) / 7 AS dist FROM mixed a, mixed b, (SELECT max(income) - min(income) AS r FROM mixed) WHERE NOT (a.region = 'ASIA' AND a.sex = 'BUILDING') AND b.region = 'ASIA' AND b.sex = 'BUILDING'""",
     (s.ENROLLMENT_SQL, MIXED),
     "dist:6",
 )
 def gower_distances(spark, d):
-    rows = _mixed(spark, d)
-    return experiments.distances_for("gower", rows.where("enrolid < 100"), rows.where("enrolid >= 100 AND enrolid < 140"), rows, ROLES, "enrolid")
+    rows, case = _mixed(spark, d), F.expr("region = 'ASIA' AND sex = 'BUILDING'")
+    return experiments.distances_for("gower", rows.where(~case), rows.where(case), rows, ROLES, "enrolid")
 
 
 @query(
