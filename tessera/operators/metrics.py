@@ -85,13 +85,13 @@ def _mcc(tp: Column, fp: Column, p: Column, n: Column) -> Column:
     return F.when(root > 0, (tp * tn - fp * fn) / root).otherwise(0.0)
 
 
-def best_mcc(df: DataFrame, score="score", y="y", by: Sequence[str] = (), constant: str = "none") -> DataFrame:
+def best_mcc(df: DataFrame, score="score", y="y", by: Sequence[str] = (), constant: str = "none", run: DataFrame | None = None) -> DataFrame:
     """threshold, mcc, recall, specificity at the midpoint between scores of the highest MCC, the lowest such; predicted is score >= threshold.
 
     With one score only all are predicted negative (threshold score + 1, mcc 0), or positive if
     ``constant`` is "all" (threshold score).  mcc is null with one class.
     """
-    r = running(score_counts(df, score, y, by), by)
+    r = running(score_counts(df, score, y, by), by) if run is None else run
     cut = F.when(F.col("lower").isNull(), F.col("score") - 1e-12).otherwise((F.col("score") + F.col("lower")) / 2)
     at = r.select(*by, cut.alias("threshold"), "tp", "fp", "total_pos", "total_neg", "lower", "higher", "score")
     none = r.where("higher IS NULL").select(*by, (F.col("score") + 1e-12).alias("threshold"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"), "total_pos", "total_neg", "lower", "higher", "score")
@@ -110,9 +110,9 @@ def best_mcc(df: DataFrame, score="score", y="y", by: Sequence[str] = (), consta
     )
 
 
-def roc_points(df: DataFrame, score="score", y="y", by: Sequence[str] = (), drop_collinear: bool = True) -> DataFrame:
+def roc_points(df: DataFrame, score="score", y="y", by: Sequence[str] = (), drop_collinear: bool = True, run: DataFrame | None = None) -> DataFrame:
     """threshold, recall, specificity at each distinct score, optionally without points on a line between their neighbours."""
-    r = running(score_counts(df, score, y, by), by)
+    r = running(score_counts(df, score, y, by), by) if run is None else run
     if drop_collinear:
         # the point above (higher score) and below differ by the counts of this score and the next lower one
         w = Window.partitionBy(*by).orderBy(F.desc("score")) if by else None
@@ -128,12 +128,12 @@ def roc_points(df: DataFrame, score="score", y="y", by: Sequence[str] = (), drop
     return r.select(*by, F.col("score").alias("threshold"), F.try_divide(F.col("tp").cast("double"), "total_pos").alias("recall"), (1 - F.try_divide(F.col("fp").cast("double"), "total_neg")).alias("specificity"), "lower", "higher")
 
 
-def best_balanced(df: DataFrame, score="score", y="y", by: Sequence[str] = (), side: str = "gmean", drop_collinear: bool = True) -> DataFrame:
+def best_balanced(df: DataFrame, score="score", y="y", by: Sequence[str] = (), side: str = "gmean", drop_collinear: bool = True, run: DataFrame | None = None) -> DataFrame:
     """threshold, value, recall, specificity of the highest geometric mean (or smaller side) of recall and specificity, the highest such.
 
     With one score: threshold score + 1, recall 0, specificity 1.
     """
-    p = roc_points(df, score, y, by, drop_collinear)
+    p = roc_points(df, score, y, by, drop_collinear, run)
     value = F.sqrt(F.col("recall") * F.col("specificity")) if side == "gmean" else F.least("recall", "specificity")
     best = _grouped(p.withColumn("value", value), by).agg(F.max(F.struct(F.round("value", 12).alias("v"), "threshold", "value", "recall", "specificity", (F.col("lower").isNull() & F.col("higher").isNull()).alias("one"))).alias("b"))
     one = F.col("b.one")
@@ -141,9 +141,9 @@ def best_balanced(df: DataFrame, score="score", y="y", by: Sequence[str] = (), s
     return best.select(*by, F.when(one, F.col("b.threshold") + 1).otherwise(F.col("b.threshold")).alias("threshold"), pick("value", 0.0), pick("recall", 0.0), pick("specificity", 1.0))
 
 
-def recall_at_specificity(df: DataFrame, least: float, score="score", y="y", by: Sequence[str] = (), lowest: bool = False) -> DataFrame:
+def recall_at_specificity(df: DataFrame, least: float, score="score", y="y", by: Sequence[str] = (), lowest: bool = False, run: DataFrame | None = None) -> DataFrame:
     """threshold, recall, specificity of the highest recall with specificity ``least`` or more (the highest threshold, or the ``lowest``); without one that of the highest specificity."""
-    p = roc_points(df, score, y, by, False)
+    p = roc_points(df, score, y, by, False, run)
     t = -F.col("threshold") if lowest else F.col("threshold")
     feasible = (F.col("specificity") >= least).cast("int")
     rank = F.struct(feasible.alias("f"), F.when(feasible == 1, F.col("recall")).otherwise(F.col("specificity")).alias("r"), t.alias("t"), "threshold", "recall", "specificity", (F.col("lower").isNull() & F.col("higher").isNull()).alias("one"))
@@ -152,9 +152,9 @@ def recall_at_specificity(df: DataFrame, least: float, score="score", y="y", by:
     return best.select(*by, F.when(one, F.col("b.threshold") + 1).otherwise(F.col("b.threshold")).alias("threshold"), F.when(one, 0.0).otherwise(F.col("b.recall")).alias("recall"), F.when(one, 1.0).otherwise(F.col("b.specificity")).alias("specificity"))
 
 
-def best_f1(df: DataFrame, score="score", y="y", by: Sequence[str] = ()) -> DataFrame:
+def best_f1(df: DataFrame, score="score", y="y", by: Sequence[str] = (), run: DataFrame | None = None) -> DataFrame:
     """threshold, f1, precision, recall: 2PR / (P + R + 1e-10) at its highest, the lowest threshold of such."""
-    r = running(score_counts(df, score, y, by), by)
+    r = running(score_counts(df, score, y, by), by) if run is None else run
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.try_divide(F.col("tp").cast("double"), "total_pos")
     f1 = 2 * precision * recall / (precision + recall + 1e-10)
     best = _grouped(r.withColumns({"precision": precision, "recall": recall, "f1": f1}), by).agg(F.max(F.struct("f1", (-F.col("score")).alias("t"), "precision", "recall")).alias("b"))
@@ -171,22 +171,45 @@ def confusion(df: DataFrame, threshold: float | Column, score="score", y="y", by
 
 
 def evaluation(validation: DataFrame, test: DataFrame, score="score", y="y", specificity: float = 0.6) -> dict[str, float | None]:
-    """The evaluation record: thresholds chosen on ``validation``, rates on ``test``."""
-    out: dict[str, float | None] = {}
-    for name, rows in (("val", validation), ("test", test)):
-        r = running(score_counts(rows, score, y)).agg(auc_column().alias("auc"), average_precision_column().alias("ap")).first()
-        out |= {f"{name}_auc": r["auc"], f"{name}_pr_auc": r["ap"]}
-    picks = {
-        "mcc": best_mcc(validation, score, y),
-        "gmean": best_balanced(validation, score, y),
-        "min_side": best_balanced(validation, score, y, side="min"),
-        "f1": best_f1(validation, score, y),
-        "spec": recall_at_specificity(validation, specificity, score, y),
-    }
-    for name, pick in picks.items():
-        t = pick.first()["threshold"]
-        c = confusion(test, t, score, y).first() if t is not None else None
-        out |= {f"threshold_{name}": t} | ({f"{k}_{name}": c[k] for k in ("recall", "specificity", "precision", "f1", "mcc")} if c else {})
+    """The evaluation record: thresholds chosen on ``validation``, rates on ``test``.
+
+    Both tables are read once: the cumulative counts by score of the first are kept while the
+    thresholds are chosen, and one aggregate over those of the second gives all its rates.
+    """
+    from pyspark import StorageLevel
+
+    ranking = (auc_column().alias("auc"), average_precision_column().alias("ap"))
+    counts = score_counts(validation, score, y).persist(StorageLevel.MEMORY_AND_DISK)
+    val = running(counts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        r = val.agg(*ranking).first()
+        out: dict[str, float | None] = {"val_auc": r["auc"], "val_pr_auc": r["ap"]}
+        picks = {
+            "mcc": best_mcc(validation, run=val),
+            "gmean": best_balanced(validation, run=val),
+            "min_side": best_balanced(validation, side="min", run=val),
+            "f1": best_f1(validation, run=val),
+            "spec": recall_at_specificity(validation, specificity, run=val),
+        }
+        every = None
+        for name, pick in picks.items():
+            part = pick.select(F.lit(name).alias("name"), "threshold")
+            every = part if every is None else every.unionByName(part)
+        cuts = {r["name"]: r["threshold"] for r in every.collect()}
+    finally:
+        val.unpersist()
+        counts.unpersist()
+    known = {k: v for k, v in cuts.items() if v is not None}
+    hits = [x for k, t in known.items() for x in (F.coalesce(F.sum(F.when(F.col("score") >= t, F.col("pos"))), F.lit(0)).alias(f"tp_{k}"), F.coalesce(F.sum(F.when(F.col("score") >= t, F.col("n") - F.col("pos"))), F.lit(0)).alias(f"fp_{k}"))]
+    r = running(score_counts(test, score, y)).agg(*ranking, F.max("total_pos").alias("p"), F.max("total_neg").alias("q"), *hits).first()
+    out |= {"test_auc": r["auc"], "test_pr_auc": r["ap"]}
+    rate = lambda a, b: a / b if b else 0.0
+    for k in cuts:
+        out[f"threshold_{k}"] = cuts[k]
+        if k in known and r["p"] is not None:
+            tp, fp, p, q = r[f"tp_{k}"], r[f"fp_{k}"], r["p"], r["q"]
+            recall, precision, root = rate(tp, p), rate(tp, tp + fp), ((tp + fp) * p * q * (q - fp + p - tp)) ** 0.5
+            out |= {f"recall_{k}": recall, f"specificity_{k}": rate(q - fp, q), f"precision_{k}": precision, f"f1_{k}": rate(2 * precision * recall, precision + recall), f"mcc_{k}": rate(tp * (q - fp) - fp * (p - tp), root)}
     return out
 
 

@@ -137,6 +137,18 @@ def test_metrics_against_definitions(spark, seed):
     assert tuple(a) == pytest.approx(tuple(b)[1:])
 
 
+def test_evaluation_record(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(a), int(rng.random() < a / 12), int(i % 2)) for i, a in enumerate(rng.integers(0, 10, 400))]
+    df = spark.createDataFrame(rows, "score double, y int, part int")
+    val, test = df.where("part = 0"), df.where("part = 1")
+    got = metrics.evaluation(val, test)
+    t = metrics.best_f1(val).first().threshold
+    c = metrics.confusion(test, t).first()
+    assert got["threshold_f1"] == t and got["f1_f1"] == pytest.approx(c.f1) and got["mcc_f1"] == pytest.approx(c.mcc) and got["specificity_f1"] == pytest.approx(c.specificity)
+    assert got["test_auc"] == pytest.approx(metrics.roc_auc(test).first()[0]) and got["threshold_mcc"] == metrics.best_mcc(val).first().threshold
+
+
 def test_leaf_refit(spark):
     fit = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (2, 0)], "leaf int, y int")
     rows = spark.createDataFrame([(1,), (2,), (9,)], "leaf int")
