@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import SPACE, inner, n_inner, split_words
+from .textkit import first_hashed
 
 #: Labelled rows that the rules are learned from at most: those whose hashed ids come first.
 LABELLED = 8_000
@@ -149,8 +150,7 @@ def learn(rows: list[dict], features=FEATURES, precise: float = PRECISE) -> list
 def learn_rules(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[Rule]:
     """Rules from the at most ``most`` labelled rows whose hashed doc_id comes first; statistics of whole texts."""
     some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    known = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(first_hashed(some, most)), "doc_id")
     stats = with_features(text_stats(known, "doc_id", "quality"))
     rows = stats.select(*FEATURES, (F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune")).limit(2 * most).collect()
     return learn([r.asDict() for r in rows])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, kept_out, map_texts, pieces, raw, word_hashes, words_of
+from .textkit import LOWER, first_hashed, kept_out, map_texts, pieces, raw, word_hashes, words_of
 
 #: Labelled rows of either class that are learned from at most: those whose hashed ids come first.
 LABELLED = 2_000
@@ -229,8 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, held: int | None = 0, modulus: int
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held is not None:
         known = known.where(~kept_out(held, modulus))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    some = known.where("toxic = 1").orderBy(*order).limit(most).unionByName(known.where("toxic != 1").orderBy(*order).limit(most))
+    some = first_hashed(known.where("toxic = 1"), most).unionByName(first_hashed(known.where("toxic != 1"), most))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
     got = rows.toArrow().sort_by("doc_id")
     texts = got.column("text").combine_chunks()
