@@ -123,7 +123,7 @@ def route(tree, fp: np.ndarray, out: list, index=None, mine=None) -> None:
 
 
 def linked(fp: np.ndarray, mine: np.ndarray, tries, radius: int, found) -> None:
-    """Calls found(i, j) with arrays of rows that are linked, i > j and j owned.  Rows have the same order in every shard."""
+    """Calls found(i, j, hit) with two arrays of rows and which pairs of them are linked, i > j and j owned.  Rows have the same order in every shard."""
     rng = np.random.default_rng(11)
 
     def join(own, ask):
@@ -141,9 +141,9 @@ def linked(fp: np.ndarray, mine: np.ndarray, tries, radius: int, found) -> None:
         step = max(1, OUTRIGHT // len(own))
         for k in range(0, len(ask), step):
             q = ask[k : k + step]
-            i, j = np.nonzero((np.bitwise_count(fp[q][:, None] ^ fp[own][None, :]) <= radius) & (q[:, None] > own[None, :]))
-            if len(i):
-                found(q[i], own[j])
+            hit = (np.bitwise_count(fp[q][:, None] ^ fp[own][None, :]) <= radius) & (q[:, None] > own[None, :])
+            if hit.any():
+                found(q, own, hit)
 
     join(np.flatnonzero(mine), np.arange(len(fp)))
 
@@ -154,6 +154,10 @@ class Forest:
     def __init__(self, n: int):
         self.label = np.arange(n)
 
+    def add_hits(self, i: np.ndarray, j: np.ndarray, hit: np.ndarray) -> None:
+        a, b = np.nonzero(hit)
+        self.add(i[a], j[b])
+
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         label = self.label
         while True:
@@ -206,7 +210,7 @@ def links(distinct: DataFrame, radius: int, n: int | None = None) -> DataFrame:
             order = np.argsort(fp, kind="stable")
             fp, mine = fp[order], mine[order]
             forest = Forest(len(fp))
-            linked(fp, mine, tries, radius, forest.add)
+            linked(fp, mine, tries, radius, forest.add_hits)
             bound = np.flatnonzero(forest.label != np.arange(len(fp)))
             return pa.table({"u": fp[bound].view(np.int64), "v": fp[forest.label[bound]].view(np.int64)})
 
@@ -238,7 +242,7 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, seed: int = 42,
 
 #: Of near-duplicate search: independent word fingerprints, the radius that links candidates, longs of the
 #: shingle fingerprint, and bits of it that candidates may differ in (a similarity of 0.8 takes 39 of 256, give or take 6).
-SEEDS, NEAR, LONGS, DIFFER = 2, 5, 4, 64
+SEEDS, NEAR, LONGS, DIFFER = 3, 5, 4, 64
 
 
 def _sets(col: pa.Array, k: int):
@@ -294,14 +298,15 @@ def _candidates(nodes: DataFrame, n: int) -> DataFrame:
             wide = [t.column(c).to_numpy().view(np.uint64) for c in grams]
             best, to = np.full(len(fp), DIFFER + 1, np.int64), np.full(len(fp), -1, np.int64)
 
-            def found(i, j):
-                d = sum(np.bitwise_count(g[i] ^ g[j]).astype(np.int64) for g in wide)
-                order = np.lexsort((j, d, i))
-                i, j, d = i[order], j[order], d[order]
-                first = np.concatenate([[True], i[1:] != i[:-1]])
-                i, j, d = i[first], j[first], d[first]
+            def found(i, j, hit):
+                rows = np.flatnonzero(hit.any(1))
+                i, hit = i[rows], hit[rows]
+                d = sum(np.bitwise_count(g[i][:, None] ^ g[j][None, :]).astype(np.int16) for g in wide)
+                d[~hit] = 32_000
+                near = d.argmin(1)  # the first of equals: the lowest row, as j rises
+                d = d[np.arange(len(i)), near]
                 better = d < best[i]
-                best[i[better]], to[i[better]] = d[better], j[better]
+                best[i[better]], to[i[better]] = d[better], j[near[better]]
 
             linked(fp, mine, tries, NEAR, found)
             some = np.flatnonzero(to >= 0)

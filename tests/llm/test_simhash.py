@@ -100,5 +100,5 @@ def test_trees_find_every_pair():
             at = np.concatenate([i for n, i, _ in out if n == leaf])
             mine = np.concatenate([m for n, _, m in out if n == leaf])[np.argsort(at)]
             at = np.sort(at)
-            linked(fp[at], mine, tries, 3, lambda i, j, at=at: got.add(at[i], at[j]))
+            linked(fp[at], mine, tries, 3, lambda i, j, hit, at=at: got.add_hits(at[i], at[j], hit))
     assert (got.label == want.label).all()
