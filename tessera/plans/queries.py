@@ -283,9 +283,9 @@ def _quarters(spark, d):
     return costs.quarterly(base, Y0, costs.typed_costs("netpay", condition, fc.in_any(DX, COMORB), F.col("procgrp").isin(*PROCS), {Y0: 1.0}, F.year("svcdate")))
 
 
-@query("SELECT enrolid, " + ", ".join(f'round("1997Q{q}_{m}", 4) AS "q{q}_{m}"' for q in (1, 2, 3, 4) for m in _M) + " FROM quarters", (s.CLAIMS_SQL, TYPED, QUARTERS))
+@query("SELECT enrolid, " + ", ".join(f'CAST(round("1997Q{q}_{m}", 4) AS {"BIGINT" if m == "total_claims" else "DOUBLE"}) AS "q{q}_{m}"' for q in (1, 2, 3, 4) for m in _M) + " FROM quarters", (s.CLAIMS_SQL, TYPED, QUARTERS))
 def quarterly_typed_costs(spark, d):
-    return _quarters(spark, d).select("enrolid", *(F.round(f"1997Q{q}_{m}", 4).alias(f"q{q}_{m}") for q in (1, 2, 3, 4) for m in _M))
+    return _quarters(spark, d).select("enrolid", *(F.round(f"1997Q{q}_{m}", 4).cast("bigint" if m == "total_claims" else "double").alias(f"q{q}_{m}") for q in (1, 2, 3, 4) for m in _M))
 
 
 _C = [f'"1997Q{q}_procedure_cost"' for q in (1, 2, 3, 4)]
@@ -582,7 +582,7 @@ def cheapest_edges(spark, d):
 
 
 @query(
-    "SELECT sum(n) AS n, count(*) AS n_unique, (SELECT sum(n) FROM (SELECT n FROM t ORDER BY n DESC, dist LIMIT 5)) / sum(n) AS top5_mass, count(*) < 200 OR (SELECT sum(n) FROM (SELECT n FROM t ORDER BY n DESC, dist LIMIT 5)) / sum(n) > 0.05 AS degenerate FROM t",
+    "SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS n_unique, (SELECT sum(n) FROM (SELECT n FROM t ORDER BY n DESC, dist LIMIT 5)) / sum(n) AS top5_mass, count(*) < 200 OR (SELECT sum(n) FROM (SELECT n FROM t ORDER BY n DESC, dist LIMIT 5)) / sum(n) > 0.05 AS degenerate FROM t",
     (s.VECTORS_SQL, PAIR.format(SQL_METRICS["hamming"]), "t AS (SELECT round(dist, 6) AS dist, count(*) AS n FROM pairs GROUP BY 1)"),
     "top5_mass:9",
 )
@@ -847,7 +847,7 @@ def evaluation_record(spark, d):
     return spark.createDataFrame(sorted((k, None if v is None else float(v)) for k, v in record.items()), "metric string, value double")
 
 
-@query("SELECT leaf, count(*) AS n, sum(y) AS positives, avg(y) AS rate FROM scored GROUP BY leaf", (s.SCORED_SQL,), "rate:9")
+@query("SELECT leaf, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, avg(y) AS rate FROM scored GROUP BY leaf", (s.SCORED_SQL,), "rate:9")
 def leaf_rates(spark, d):
     return metrics.leaf_rates(s.scored(spark, d))
 
