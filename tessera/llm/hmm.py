@@ -1,6 +1,6 @@
 """Scoring of texts by a hidden Markov language model.
 
-States emit word classes: each of the TOP most frequent training words is a class of its own, any other
+States emit word classes: each of the at most TOP most frequent training words is a class of its own, any other
 word belongs to the class of its last bytes.  Baum-Welch counts of transitions and classes are summed
 over all partitions; the model's size is fixed, whatever the corpus.  Within a class of rare words a word
 w is drawn with probability (1 - e) c(w) / C, and the rest e (Good-Turing: the share of words met once)
@@ -15,19 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import LOWER, kept_out, pieces, raw, stored, word_hashes, words_of
 
-#: Words with a class of their own, classes of other words, bytes that tell those, states.
+#: Words with a class of their own (at most), classes of other words, bytes that tell those, states.
 TOP, ENDINGS, TAIL, STATES = 1 << 15, 4096, 3, 6
 #: Texts that the first parameters come from (about), rounds over them, and rounds over all texts.
 START_TEXTS, START_ROUNDS, ROUNDS = 1_000, 10, 2
 #: Weight of the class frequencies in each state's emissions, and of an even start in transitions.
 PRIOR, EVEN = 50.0, 5.0
-#: Hash that stands for the end of a text; bytes of text handled at once.
-END, PIECE = 1, 2 << 20
+#: Hash that stands for the end of a text; bytes of text that are cut into tokens at once; tokens that the
+#: recursion runs over side by side (whole texts; the more, the fewer steps a token).
+END, PIECE, SIDE_BY_SIDE = 1, 1 << 20, 1_200_000
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +46,26 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, tail, offsets
 
 
+def _groups(batches, cut):
+    """(classes, offsets, rest) of many texts together: ``cut`` gives (classes, lengths, rest) of a piece, or None."""
+    hold, n = [], 0
+    for batch in batches:
+        for piece in pieces(batch, "text", PIECE):
+            got = cut(piece)
+            if got is not None:
+                hold.append(got)
+                n += len(got[0])
+            if n >= SIDE_BY_SIDE:
+                yield _together(hold)
+                hold, n = [], 0
+    if hold:
+        yield _together(hold)
+
+
+def _together(hold):
+    return np.concatenate([x[0] for x in hold]), np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in hold]))]), [x[2] for x in hold]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, tail, c): how often each word hash stands in the rows that are not held; END counts the rows.  A task adds up its own first."""
 
@@ -90,7 +111,7 @@ class Model:
         own = self.top[at] == w if len(self.top) else np.zeros(len(w), bool)
         out = np.where(own, at, len(self.top) + tail)
         out[w == END] = len(self.top) + ENDINGS
-        return out, ~own & (w != END)
+        return out.astype(np.int32), ~own & (w != END)
 
     def forward(self, sym: np.ndarray, offsets: np.ndarray, back: bool = False):
         """Log10 likelihood of each sequence; with ``back`` the expected counts: first states, moves, and states by class."""
@@ -107,7 +128,7 @@ class Model:
             alpha = alpha / scale[:, None]
             logs[:n] += np.log10(scale)
             if back:
-                kept.append(alpha)
+                kept.append(alpha.astype(np.float32))
                 scales.append(scale)
         out = np.empty(len(size))
         out[order] = logs
@@ -144,17 +165,20 @@ def _expected(docs: DataFrame, model: Model):
     def local(batches):
         model = sent.value
         first, moved, emitted = np.zeros(states), np.zeros((states, states)), np.zeros(model.emits.shape)
-        for batch in batches:
-            for piece in pieces(batch, "text", PIECE):
-                piece = piece.filter(pa.array(~piece.column("held").to_numpy(zero_copy_only=False)))
-                if piece.num_rows:
-                    w, tail, offsets = tokens(piece.column("text"))
-                    sym, _ = model.classes(w, tail)
-                    _, a, b, seen = model.forward(sym, offsets, True)
-                    first += a
-                    moved += b
-                    for k in range(states):
-                        emitted[:, k] += np.bincount(sym, seen[:, k], len(emitted))
+
+        def cut(piece):
+            piece = piece.filter(pa.array(~piece.column("held").to_numpy(zero_copy_only=False)))
+            if piece.num_rows:
+                w, tail, offsets = tokens(piece.column("text"))
+                return model.classes(w, tail)[0], np.diff(offsets), None
+            return None
+
+        for sym, offsets, _ in _groups(batches, cut):
+            _, a, b, seen = model.forward(sym, offsets, True)
+            first += a
+            moved += b
+            for k in range(states):
+                emitted[:, k] += np.bincount(sym, seen[:, k], len(emitted))
         some = np.flatnonzero(emitted.any(1))
         ids = np.concatenate([some, [-1], -2 - np.arange(states)]).astype(np.int32)
         rows = np.concatenate([emitted[some], first[None], moved])
@@ -203,7 +227,11 @@ def hmm_scores(docs: DataFrame, held: int = 0, modulus: int = 10, top: int = TOP
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), kept_out(held, modulus).alias("held"))
     counts = stored(word_counts(rows))
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("w") == END, F.col("c"))), F.lit(0))).first()
-    most = counts.where(F.col("w") != END).orderBy(F.desc("c"), "w").limit(top).collect()
+    own = counts.where(F.col("w") != END)
+    # the most frequent words are those above the least count that TOP words at most exceed: no task sends its own top to the driver
+    steps = own.groupBy("c").agg(F.count("*").alias("n")).withColumn("more", F.sum("n").over(Window.orderBy(F.desc("c"))))
+    least = steps.where(F.col("more") > top).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    most = own.where(F.col("c") > least).collect()
     hashes = np.array([r["w"] for r in most], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     top_counts = np.array([r["c"] for r in most], np.int64)[order]
@@ -211,11 +239,7 @@ def hmm_scores(docs: DataFrame, held: int = 0, modulus: int = 10, top: int = TOP
     c_of = np.zeros(classes)
     c_of[: len(most)] = top_counts
     c_of[-1] = ends
-    if len(most) == top:
-        last = most[-1]
-        rare = counts.where((F.col("w") != END) & ((F.col("c") < last["c"]) | ((F.col("c") == last["c"]) & (F.col("w") > last["w"]))))
-    else:
-        rare = counts.where(F.lit(False))
+    rare = own.where(F.col("c") <= least)
     in_class = rare.groupBy("tail").agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("once")).collect()
     met = np.zeros((ENDINGS, 2))
     for r in in_class:
@@ -234,17 +258,21 @@ def hmm_scores(docs: DataFrame, held: int = 0, modulus: int = 10, top: int = TOP
 
     def score(batches):
         model = sent.value
-        for batch in batches:
-            for piece in pieces(batch, "text", PIECE):
-                w, tail, offsets = tokens(piece.column("text"))
-                sym, other = model.classes(w, tail)
-                add = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: E731, B023
-                own = np.where(other, 0.0, unit[sym])
-                known = ~other if model.end_count else ~other & (w != END)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("held"), piece.column("k"), pa.array(np.diff(offsets)), pa.array(add(known.astype(np.int64))), pa.array(add(own)), pa.array(model.forward(sym, offsets))],
-                    ["doc_id", "held_out", "k", "n_tokens", "known", "base", "ahead"],
-                )
+
+        def cut(piece):
+            w, tail, offsets = tokens(piece.column("text"))
+            sym, other = model.classes(w, tail)
+            add = lambda x: np.add.reduceat(x, offsets[:-1])
+            known = ~other if model.end_count else ~other & (w != END)
+            size = np.diff(offsets)
+            rest = [piece.column(c) for c in ("doc_id", "held", "k")] + [pa.array(size), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(other, 0.0, unit[sym])))]
+            return sym, size, rest
+
+        for sym, offsets, rest in _groups(batches, cut):
+            ahead, at = model.forward(sym, offsets), 0
+            for cols in rest:
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(ahead[at : at + len(cols[0])])], ["doc_id", "held_out", "k", "n_tokens", "known", "base", "ahead"])
+                at += len(cols[0])
 
     keyed = rows.withColumn("k", F.xxhash64("text"))
     parts = keyed.mapInArrow(score, "doc_id bigint, held_out boolean, k bigint, n_tokens bigint, known bigint, base double, ahead double")
