@@ -323,20 +323,155 @@ def _candidates(nodes: DataFrame, n: int) -> DataFrame:
     return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+#: Texts whose shingles are counted to put frequent ones last, frequent shingles at most, and pairs that a task holds at once.
+COUNTED, FREQUENT, PAIRS = 20_000, 65_536, 1 << 20
+
+
+def _frequent(docs: DataFrame, k: int, n: int) -> np.ndarray:
+    """Shingles found most often in a sample of about COUNTED texts, the most frequent last."""
+
+    def kernel(piece):
+        return pa.RecordBatch.from_arrays([pa.array(_sets(piece.column("text"), k)[1][0].view(np.int64))], ["gram"])
+
+    some = docs.where(F.pmod("key", F.lit(1_000_003)) < int(1_000_003 * min(1.0, COUNTED / max(1, n))))
+    counts = map_texts(some.select("text"), kernel, "gram bigint").groupBy("gram").count().where("count > 4")
+    rows = counts.orderBy(F.desc("count"), "gram").limit(FREQUENT).collect()
+    return np.array([r["gram"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def _prefixes(docs: DataFrame, k: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """gram, meta and node: the shingles of each text that another text of that similarity must share one of.
+
+    With a shingles in a fixed order (rare ones first), two texts of the similarity share one of the
+    first a - ceil(similarity * a) + 1.  meta holds a and, below it, how many shingles follow, this one included.
+    """
+    order = np.argsort(frequent)
+    keys, ranks = frequent[order], order + 1
+
+    def kernel(piece):
+        _, (h, at), node = _sets(piece.column("text"), k)
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        if len(keys) and len(h):
+            spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            h = h[np.lexsort((h, np.where(keys[spot] == h, ranks[spot], 0), row))]
+        place = np.arange(len(h)) - at[row]
+        first = place <= (n - np.ceil(similarity * n - 1e-9))[row]
+        size = n[row[first]].astype(np.int64)
+        meta = (size << 32) | (size - place[first])
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(meta), pa.array(node[row[first]].view(np.int64))], ["gram", "meta", "node"])
+
+    return map_texts(docs.select("text"), kernel, "gram bigint, meta bigint, node bigint")
+
+
+def _runs(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel`` (columns as arrays to batches of columns) over whole runs of one gram, sorted by gram, meta and node."""
+    names = rows.columns
+    out_names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        tail = None
+        for b in batches:
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if tail is not None:
+                cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+            tail = [c[last:] for c in cols]
+            if last:
+                for out in kernel(*(c[:last] for c in cols)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], out_names)
+        if tail is not None and len(tail[0]):
+            for out in kernel(*tail):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], out_names)
+
+    return rows.repartition("gram").sortWithinPartitions("gram", "meta", "node").mapInArrow(run, schema)
+
+
+def _meeting(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``prefixes`` whose shingle another node of a size that allows the similarity has, too; repeated rows once."""
+
+    def kernel(gram, meta, node):
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (meta[1:] != meta[:-1]) | (node[1:] != node[:-1])
+        gram, meta, node = gram[new], meta[new], node[new]
+        size = meta >> 32
+        near = (gram[1:] == gram[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-9)
+        keep = np.zeros(len(gram), bool)
+        keep[1:] |= near
+        keep[:-1] |= near
+        if keep.any():
+            yield gram[keep], meta[keep], node[keep]
+
+    return _runs(prefixes, kernel, "gram bigint, meta bigint, node bigint")
+
+
+def _hubs(meeting: DataFrame) -> DataFrame:
+    """Edges (u, v) of each node with that node of its shingle which meets others in most shingles, such as the original of many copies."""
+
+    def kernel(gram, meta, node, many):
+        order = np.lexsort((node, -many, gram))
+        first = np.concatenate([[True], gram[1:] != gram[:-1]])  # gram is sorted already
+        hub = node[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+        other = hub != node
+        yield np.maximum(hub, node)[other], np.minimum(hub, node)[other]
+
+    many = meeting.groupBy("node").agg(F.count("*").alias("many"))
+    return _runs(meeting.join(many, "node").select("gram", "meta", "node", "many"), kernel, "u bigint, v bigint").distinct()
+
+
+def _apart(meeting: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) of all nodes of different groups that share a shingle of their prefixes and may reach the similarity."""
+    share = similarity / (1 + similarity)
+
+    def kernel(gram, meta, node, group):
+        first = np.concatenate([[True], gram[1:] != gram[:-1]])
+        starts = np.flatnonzero(first)
+        mixed = (np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts))[np.cumsum(first) - 1]
+        gram, meta, node, group = gram[mixed], meta[mixed], node[mixed], group[mixed]
+        size, rest = meta >> 32, meta & 0xFFFFFFFF
+        k, s, held, parts = np.arange(len(gram)), 1, 0, []
+
+        def distinct():
+            pairs = np.unique(np.concatenate(parts, axis=1), axis=1)
+            return pairs[0], pairs[1]
+
+        while len(k):
+            k = k[: np.searchsorted(k, len(gram) - s)]
+            k = k[gram[k + s] == gram[k]]
+            k = k[size[k] >= similarity * size[k + s] - 1e-9]
+            may = (group[k] != group[k + s]) & (np.minimum(rest[k], rest[k + s]) >= share * (size[k] + size[k + s]) - 1e-9)
+            i, j = node[k[may]], node[k[may] + s]
+            if len(i):
+                parts.append(np.stack([np.maximum(i, j), np.minimum(i, j)]))
+                held += len(i)
+            if held > PAIRS:
+                yield distinct()
+                held, parts = 0, []
+            s += 1
+        if parts:
+            yield distinct()
+
+    return _runs(meeting.select("gram", "meta", "node", "group"), kernel, "u bigint, v bigint").distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """key (xxhash64 of doc_id and text), doc_id, node and group, for each row of ``docs`` (doc_id, text).
 
-    Texts of equal words are one node.  Nodes whose word fingerprints differ in NEAR bits or fewer are
-    candidates; each candidate's Jaccard similarity of distinct shingles is then computed from the
-    shingles themselves, and links at ``similarity`` or more make the groups.
+    Texts of equal words are one node.  Two nodes are linked where the Jaccard similarity of their
+    distinct shingles, computed from the shingles themselves, is ``similarity`` or more; links make the
+    groups.  First come the likely pairs: nodes alike in word fingerprints, and nodes with the hubs of
+    their shingles.  Then every other pair that shares a shingle of its prefixes (as any two texts of
+    the similarity do) is verified, unless verified links join its ends already.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     prints = stored(_prints(keyed, shingle_words))
     names = [c for c in prints.columns if c not in ("key", "doc_id", "node")]
     nodes = stored(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in names), F.min("key").alias("key")))
-    edges = stored(_candidates(nodes, nodes.count()))
-    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    texts = keyed.join(nodes.join(ends, "node").select("key", "node"), "key").dropDuplicates(["node"])
+    n = nodes.count()
+    meeting = stored(_meeting(_prefixes(keyed, shingle_words, similarity, _frequent(keyed, shingle_words, n)), similarity))
+    met = meeting.select("node").distinct()
+    edges = stored(_candidates(nodes, n).unionByName(_hubs(meeting)).distinct().join(met.withColumnRenamed("node", "u"), "u", "left_semi").join(met.withColumnRenamed("node", "v"), "v", "left_semi"))
+    texts = keyed.join(nodes.join(met, "node").select("key", "node"), "key").dropDuplicates(["node"])
 
     def kernel(piece):
         _, (h, at), _ = _sets(piece.column("text"), shingle_words)
@@ -344,10 +479,16 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: f
         return pa.RecordBatch.from_arrays([piece.column("node"), low], ["node", "shingles"])
 
     sets = stored(map_texts(texts.select("node", "text"), kernel, "node bigint, shingles array<int>"))
-    both = edges.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    union = F.size(F.array_distinct("a")) + F.size(F.array_distinct("b")) - shared
-    links_ = both.where(shared >= F.lit(similarity) * union).select("u", "v")
+
+    def verified(pairs):
+        both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        union = F.size(F.array_distinct("a")) + F.size(F.array_distinct("b")) - shared
+        return both.where(shared >= F.lit(similarity) * union).select("u", "v")
+
+    likely = stored(components(verified(edges)))
+    grouped = meeting.join(likely.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    links_ = likely.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(stored(_apart(grouped, similarity))))
     comps = components(links_).withColumnsRenamed({"root": "group"})
     return prints.select("key", "doc_id", "node").join(comps, "node", "left").withColumn("group", F.coalesce("group", "node"))
 

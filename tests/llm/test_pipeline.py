@@ -40,3 +40,46 @@ def test_stages_in_order(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert set(docs.columns) < set(out.columns) and 0 < out.select("doc_id").distinct().count() < docs.count()
+
+
+def groups_by_force(texts, least=0.8):
+    s = [{tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    label = list(range(len(s)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(s)):
+        for j in range(i):
+            if min(len(s[i]), len(s[j])) >= least * max(len(s[i]), len(s[j])):
+                both = len(s[i] & s[j])
+                if both >= least * (len(s[i]) + len(s[j]) - both):
+                    a, b = sorted((root(i), root(j)))
+                    label[b] = a
+    return [root(i) for i in range(len(s))]
+
+
+def check_groups(frame, texts):
+    truth = groups_by_force(texts)
+    rows = near_duplicate_groups(frame([(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()
+    got = {r.doc_id: r.group for r in rows}
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert len(rows) == len(texts)
+    assert [first[got[i]] for i in range(len(texts))] == truth
+    return truth
+
+
+def test_star_of_copies(frame, rng):
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for _ in range(1000):
+        copy = list(words)
+        for at in rng.sample(range(200), 4):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts.insert(500, " ".join(words))
+    assert len(set(check_groups(frame, texts))) < 400
