@@ -41,6 +41,9 @@ CLOSES = {
     "tr": (CELLS | {"tr", "caption", "colgroup"}, frozenset(("table",))),
 } | {t: (CELLS | ROWS | {"tr", "caption", "colgroup"}, frozenset(("table",))) for t in ("tbody", "thead", "tfoot", "caption", "colgroup")}
 FENCE = frozenset(("table", "td", "th", "html", "body", "caption"))
+#: Parts of a table, inside which only some elements may stand; others go before the table.
+PARTS = ROWS | {"table", "tr", "colgroup"}
+IN_TABLE = CELLS | ROWS | {"tr", "caption", "colgroup", "col"}
 #: Columns are padded to this width at most.
 WIDEST = 40
 
@@ -133,20 +136,39 @@ def build(source: str) -> tuple[Node, str]:
                 return 0
         return 0
 
+    def place(child) -> None:
+        """Adds what is shown to the open element; what may not stand in its part of a table goes before the table."""
+        if names[-1] in PARTS and not (isinstance(child, Node) and child.tag in IN_TABLE):
+            k = find(("table",))
+            if k:
+                stack[k - 1].children.insert(len(stack[k - 1].children) - 1, child)
+                return
+        stack[-1].children.append(child)
+
     def push(tag: str, attributes=None) -> None:
         nonlocal unseen
         node = Node(tag, attributes)
-        if not unseen:
-            stack[-1].children.append(node)
+        a = node.attributes
+        shut = names[-1] == "details" and "open" not in stack[-1].attributes and tag != "summary"
+        hides = tag in UNSEEN or "hidden" in a or shut or (tag == "dialog" and "open" not in a) or _NOT_SHOWN.search(a.get("style", ""))
+        if not unseen and not hides:
+            place(node)
         stack.append(node)
         names.append(tag)
         open_[tag] += 1
-        a = node.attributes
-        shut = len(stack) > 1 and names[-2] == "details" and "open" not in stack[-2].attributes and tag != "summary"
-        if not unseen and (tag in UNSEEN or "hidden" in a or shut or (tag == "dialog" and "open" not in a) or _NOT_SHOWN.search(a.get("style", ""))):
+        if not unseen and hides:
             unseen = len(stack)
-            if stack[-2].children:
-                stack[-2].children.pop()
+
+    def part() -> int:
+        """Depth of the innermost open part of a table, 0 inside its cells and captions and outside tables."""
+        if not open_["table"]:
+            return 0
+        for k in range(len(names) - 1, 0, -1):
+            if names[k] in CELLS or names[k] == "caption":
+                return 0
+            if names[k] in PARTS:
+                return k if find(("table",)) else 0
+        return 0
 
     for token in _tokens(source):
         if isinstance(token, str):
@@ -157,18 +179,14 @@ def build(source: str) -> tuple[Node, str]:
             if unseen or (names[-1] == "details" and "open" not in stack[-1].attributes):
                 continue
             text = token if names[-1] in ("xmp",) or "&" not in token else unescape(token)
-            if names[-1] in ("table", "tr", "tbody", "thead", "tfoot", "colgroup"):
-                k = find(("table",))  # text between cells goes before the table
-                if text.strip() and k:
-                    stack[k - 1].children.insert(len(stack[k - 1].children) - 1, text)
-                continue
-            stack[-1].children.append(text)
+            if names[-1] not in PARTS or text.strip():
+                place(text)
             continue
         is_end, tag, source_attributes = token
         if is_end:
             if tag == "br":
                 if not unseen:
-                    stack[-1].children.append(Node("br"))
+                    place(Node("br"))
                 continue
             if tag in ("html", "body"):
                 continue
@@ -179,7 +197,7 @@ def build(source: str) -> tuple[Node, str]:
             if k:
                 close(k)
             elif tag == "p" and not unseen:
-                stack[-1].children.append(Node("p"))
+                place(Node("p"))
             continue
         if open_["head"] and tag not in IN_HEAD:
             k = find(("head",))
@@ -187,6 +205,18 @@ def build(source: str) -> tuple[Node, str]:
                 close(k)
         if tag in ("html", "body", "head") and open_[tag]:
             continue
+        if tag in IN_TABLE or tag in ("form", "table"):
+            k = part()
+            if k and tag == "form":  # an empty element there
+                continue
+            if k and tag == "table":  # ends the table it stands in
+                close(find(("table",)))
+            elif k:
+                close(k if names[k] == "colgroup" and tag != "col" else k + 1)
+            elif tag in IN_TABLE and open_["caption"]:
+                k = find(("caption",), frozenset(("table",)))
+                if k:
+                    close(k)
         if tag in ENDS_P:
             k = find(("p",), FENCE)
             if k:
@@ -207,7 +237,7 @@ def build(source: str) -> tuple[Node, str]:
                 push("tr")
         if tag in VOID:
             if not unseen and tag in ("br", "hr", "wbr"):
-                stack[-1].children.append(Node(tag))
+                place(Node(tag))
             continue
         push(tag, _attributes(source_attributes))
     close(1)
@@ -316,12 +346,16 @@ def table_lines(table: Node) -> list[str]:
     rows, head = [], []
     for part in table.children:
         if isinstance(part, Node):
-            if part.tag == "caption":
-                head += layout(part)
-            elif part.tag == "tr":
+            if part.tag == "tr":
                 rows.append(part)
             elif part.tag in ROWS:
-                rows += [r for r in part.children if isinstance(r, Node) and r.tag == "tr"]
+                for r in part.children:
+                    if isinstance(r, Node) and r.tag == "tr":
+                        rows.append(r)
+                    elif isinstance(r, Node):
+                        head += layout(r)
+            else:
+                head += layout(part)
     placed: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}  # column: rows it stays taken for
     for row in rows:
@@ -336,6 +370,8 @@ def table_lines(table: Node) -> list[str]:
                 for c in range(col, col + span):
                     taken[c] = down
                 col += span
+            elif isinstance(cell, Node):
+                head += layout(cell)
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         placed.append(cells)
     width: dict[int, int] = {}

@@ -79,3 +79,40 @@ def test_frame(spark):
     got = sorted((tuple(r) for r in extract_pages(df, "page_id", "url").collect()), key=str)
     assert got == sorted([(1, "u", "T", "a"), (1, "u", "T", "a"), (None, None, "", ""), (2, "v", "", "")], key=str)
     assert extract_pages(df.limit(0), "page_id").collect() == []
+
+
+MISPLACED = [
+    ("<table><form><tr><td>a<td>b</tr></form></table>", "a  b"),
+    ("<table><tr><form><td>a</td></form></tr></table>", "a"),
+    ("<form><table><tr><td>a</td></tr></form></table>b", "a\n\nb"),
+    ("<table><div>text</div><tr><td>a</table>", "text\n\na"),
+    ("<table><div>text<tr><td>a<td>b</table>c", "text\n\na  b\n\nc"),
+    ("<table><tr><b>bold</b><td>a</table>", "bold\n\na"),
+    ("<table><tr><td>a<tr><table><tr><td>b</table>c", "a\n\nb\n\nc"),
+    ("<table><tbody><p>x<br>y</p><tr><td>a</table>", "x\ny\n\na"),
+    ("<table>a<br>b<tr><td>c</table>", "a\nb\n\nc"),
+    ("<table><colgroup><td>a<td>b</table>", "a  b"),
+    ("<table><caption>t<td>a</table>", "t\na"),
+    ("<table><div hidden>no</div><tr><td>a<table><tr><td>b</table></table>", "a\n\nb"),
+    ("<table><tr><td>a</td><script>no</script><td>b</table>", "a  b"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), MISPLACED)
+def test_misplaced_in_tables(source, text):
+    assert render(source)[0] == text
+
+
+def test_no_word_of_a_table_is_lost():
+    rng = random.Random(8)
+    tags = "table tr td th tbody thead caption colgroup form div b p ul li span table tr td".split()
+    for _ in range(2000):
+        out = ["<table>"]
+        for i in range(rng.randrange(1, 30)):
+            out.append(f"<{'/' * (rng.random() < 0.3)}{rng.choice(tags)}>")
+            if rng.random() < 0.6:
+                out.append(f" word{i} ")
+        source = "".join(out)
+        reader = Words()
+        reader.feed(source)
+        assert sorted(render(source)[0].replace("- ", " ").split()) == sorted(reader.words), source
