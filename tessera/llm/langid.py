@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
-Letters are numbered by a learned alphabet (the most frequent ones; all others share a number), anything
-else is a boundary and runs of boundaries are one.  An n-gram of up to four numbers packs into a hash of
-6 bits a character; each order keeps one sorted array of the hashes seen in any language and, beside it,
+Every letter of the learning texts has a number of its own (those never seen there share one), anything
+else is a boundary and runs of boundaries are one.  An n-gram of up to four numbers packs into 6 bits a
+character, or as many as the letters take, up to 16; each order keeps one sorted array of the hashes seen in any language and, beside it,
 the log-probabilities in all languages.  The language with the lowest cross-entropy a character wins.
 """
 
@@ -19,7 +19,8 @@ from .textkit import kept_out, pieces
 
 #: Labelled texts of each language that are learned from (about as many, those with the lowest hashes); languages at most.
 LABELLED, LANGUAGES = 1_000, 256
-ORDER, BITS, ALPHABET = 4, 6, 62
+#: Bits of a number: at least, and at most (four of them fill 64).
+ORDER, BITS, MOST_BITS = 4, 6, 16
 #: Bytes of text that are scored at once; share of a language's own texts that the rejection bound lets pass.
 PIECE, PASS = 1 << 20, 0.995
 
@@ -43,17 +44,22 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def grams(points: np.ndarray, offsets: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def code_type(bits: int) -> type:
+    return np.uint32 if ORDER * bits <= 32 else np.uint64
+
+
+def grams(points: np.ndarray, offsets: np.ndarray, numbers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed ORDER-grams of all texts, and the n + 1 offsets of each text's."""
     sym = numbers[points]
     keep = sym != 0
     keep[1:] |= sym[:-1] != 0
     keep |= points == 0
     at = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    sym, real = sym[keep].astype(np.uint32), points[keep] != 0
+    kind = code_type(bits)
+    sym, real = sym[keep].astype(kind), points[keep] != 0
     code = sym.copy()
     for j in range(1, ORDER):
-        code[j:] |= sym[:-j] << np.uint32(BITS * j)
+        code[j:] |= sym[:-j] << kind(bits * j)
     return code[real], np.concatenate([[0], np.cumsum(real)])[at]
 
 
@@ -61,6 +67,7 @@ def grams(points: np.ndarray, offsets: np.ndarray, numbers: np.ndarray) -> tuple
 class Model:
     languages: list[str]
     numbers: np.ndarray
+    bits: int = BITS
     keys: list[np.ndarray] = field(default_factory=list)  # by order from 2: sorted hashes
     logs: list[np.ndarray] = field(default_factory=list)  # beside them: log probabilities, one column a language
     contexts: list[np.ndarray] = field(default_factory=list)  # by order from 2: sorted contexts
@@ -74,15 +81,16 @@ class Model:
         return self._order(code, ORDER)
 
     def _order(self, code: np.ndarray, n: int) -> np.ndarray:
+        kind = code_type(self.bits)
         if n == 1:
-            return self.single[code & np.uint32((1 << BITS) - 1)]
+            return self.single[code & kind((1 << self.bits) - 1)]
         keys, logs = self.keys[n - 2], self.logs[n - 2]
-        own = code & np.uint32((1 << (BITS * n)) - 1)
+        own = code & kind((1 << (self.bits * n)) - 1)
         at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         out = logs[at]
         missing = np.flatnonzero(keys[at] != own)
         if len(missing):
-            context = own[missing] >> np.uint32(BITS)
+            context = own[missing] >> kind(self.bits)
             contexts, weights = self.contexts[n - 2], self.weights[n - 2]
             at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
             back = np.where((contexts[at] == context)[:, None], weights[at], np.float32(0))
@@ -92,7 +100,7 @@ class Model:
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy (nats a character) of each text in each language; whether the text has a letter."""
         points, offsets = code_points(texts)
-        code, at = grams(points, offsets, self.numbers)
+        code, at = grams(points, offsets, self.numbers, self.bits)
         lettered = np.concatenate([[0], np.cumsum(letters()[points])])
         has = np.diff(lettered[offsets]) > 0
         n = np.diff(at)
@@ -103,13 +111,13 @@ class Model:
         return out, has
 
 
-def _tables(code: np.ndarray) -> list[tuple]:
+def _tables(code: np.ndarray, bits: int) -> list[tuple]:
     """Of one language, by order from ORDER down to 1: hashes and their (continuation) counts."""
     out, (keys, counts) = [], np.unique(code, return_counts=True)
     for n in range(ORDER, 0, -1):
         out.append((n, keys, counts.astype(np.float64)))
         if n > 1:  # how many characters come before each shorter gram
-            keys, counts = np.unique(keys & np.uint32((1 << (BITS * (n - 1))) - 1), return_counts=True)
+            keys, counts = np.unique(keys & keys.dtype.type((1 << (bits * (n - 1))) - 1), return_counts=True)
     return out
 
 
@@ -121,19 +129,21 @@ def train(texts: list[str], langs: list[str]) -> Model:
         for c in set(t.lower()):
             if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
-    alphabet = sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]
-    numbers = np.where(letters(), np.uint8(ALPHABET + 1), np.uint8(0))
+    alphabet = sorted(seen, key=lambda c: (-seen[c], c))
+    bits = max(BITS, (len(alphabet) + 1).bit_length())
+    if bits > MOST_BITS:
+        raise ValueError(f"{len(alphabet)} different letters to learn from, over {(1 << MOST_BITS) - 2}")
+    numbers = np.where(letters(), np.uint16(len(alphabet) + 1), np.uint16(0))
     for k, c in enumerate(alphabet):
         numbers[ord(c)] = k + 1
-    model = Model(known, numbers)
+    model = Model(known, numbers, bits)
     spare = np.arange(len(texts)) % 10 == 9
     by_lang = []
     for lang in known:
         own = [t for t, x, s in zip(texts, langs, spare, strict=True) if x == lang and not s] or [t for t, x in zip(texts, langs, strict=True) if x == lang]
         points, offsets = code_points(own)
-        by_lang.append({n: (k, c) for n, k, c in _tables(grams(points, offsets, numbers)[0])})
-    mask = np.uint32((1 << BITS) - 1)
-    size = 1 << BITS
+        by_lang.append({n: (k, c) for n, k, c in _tables(grams(points, offsets, numbers, bits)[0], bits)})
+    size = max(1 << BITS, len(alphabet) + 2)
     single = np.empty((size, len(known)), np.float64)
     for col, t in enumerate(by_lang):
         keys, counts = t[1]
@@ -142,8 +152,8 @@ def train(texts: list[str], langs: list[str]) -> Model:
         single[:, col] = (p + 0.5) / (p.sum() + 0.5 * size)
     model.single = np.log(single).astype(np.float32)
     for n in range(2, ORDER + 1):
-        keys = np.unique(np.concatenate([t[n][0] for t in by_lang] or [np.empty(0, np.uint32)]))
-        context = keys >> np.uint32(BITS)
+        keys = np.unique(np.concatenate([t[n][0] for t in by_lang] or [np.empty(0, code_type(bits))]))
+        context = keys >> code_type(bits)(bits)
         contexts = np.unique(context)
         below = np.exp(model._order(keys, n - 1).astype(np.float64))
         logs, weights = np.empty((len(keys), len(known))), np.empty((len(contexts), len(known)))

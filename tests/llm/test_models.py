@@ -41,6 +41,22 @@ def test_language_model_is_a_distribution(rng):
         assert np.allclose(np.exp(model.log_probabilities(code).astype(float)).sum(0), 1, atol=1e-3)
 
 
+def test_languages_of_many_letters(rng):
+    def words(first, n):  # two languages of one script: the same letters in another order
+        pairs = [chr(first + i) + chr(0x4E00 + (i * 37 + first) % 900) for i in range(300)]
+        return " ".join("".join(rng.choices(pairs, k=3)) for _ in range(n))
+
+    make = {"a": lambda n: words(0x4E00, n), "b": lambda n: words(0x4F00, n), "en": lambda n: text(rng, "en", n), "ru": lambda n: " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(5)) for _ in range(n))}
+    langs = [x for x in make for _ in range(60)]
+    model = langid.train([make[x](80) for x in langs], langs)
+    assert model.bits > langid.BITS and len(set(model.numbers[[ord(c) for c in "th\u0436\u4e00\u4e01\u4f05"]])) == 6
+    asked = [x for x in make for _ in range(50)]
+    entropy, _ = model.entropies([make[x](6) for x in asked])
+    assert np.mean([model.languages[k] == x for k, x in zip(entropy.argmin(1), asked, strict=True)]) > 0.97
+    code = (np.uint64(5) << np.uint64(model.bits)) + np.arange(len(model.single), dtype=np.uint64)
+    assert np.allclose(np.exp(model.log_probabilities(code).astype(float)).sum(0), 1, atol=1e-3)
+
+
 def test_toxicity_held_out(frame, spark, rng, odd):
     rows = []
     for i in range(800):
