@@ -405,14 +405,19 @@ def _meeting(prefixes: DataFrame, similarity: float) -> DataFrame:
     return _runs(prefixes, kernel, "gram bigint, meta bigint, node bigint")
 
 
-def _hubs(meeting: DataFrame) -> DataFrame:
-    """Edges (u, v) of each node with that node of its shingle which meets others in most shingles, such as the original of many copies."""
+def _hubs(meeting: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) of each node with that node of its shingle which meets others in most shingles, such as the original of many copies.
+
+    Only pairs that may reach the similarity by their sizes and by what follows the shingle.
+    """
+    share = similarity / (1 + similarity)
 
     def kernel(gram, meta, node, many):
         order = np.lexsort((node, -many, gram))
         first = np.concatenate([[True], gram[1:] != gram[:-1]])  # gram is sorted already
-        hub = node[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-        other = hub != node
+        at = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        hub, size, rest = node[at], meta >> 32, meta & 0xFFFFFFFF
+        other = (hub != node) & (np.minimum(rest, rest[at]) >= share * (size + size[at]) - 1e-9)
         yield np.maximum(hub, node)[other], np.minimum(hub, node)[other]
 
     many = meeting.groupBy("node").agg(F.count("*").alias("many"))
@@ -470,7 +475,7 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: f
     n = nodes.count()
     meeting = stored(_meeting(_prefixes(keyed, shingle_words, similarity, _frequent(keyed, shingle_words, n)), similarity))
     met = meeting.select("node").distinct()
-    edges = stored(_candidates(nodes, n).unionByName(_hubs(meeting)).distinct().join(met.withColumnRenamed("node", "u"), "u", "left_semi").join(met.withColumnRenamed("node", "v"), "v", "left_semi"))
+    edges = stored(_candidates(nodes, n).unionByName(_hubs(meeting, similarity)).distinct().join(met.withColumnRenamed("node", "u"), "u", "left_semi").join(met.withColumnRenamed("node", "v"), "v", "left_semi"))
     texts = keyed.join(nodes.join(met, "node").select("key", "node"), "key").dropDuplicates(["node"])
 
     def kernel(piece):

@@ -83,3 +83,15 @@ def test_star_of_copies(frame, rng):
         texts.append(" ".join(copy))
     texts.insert(500, " ".join(words))
     assert len(set(check_groups(frame, texts))) < 400
+
+
+def test_kinds_of_copies(frame, rng):
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 200))]
+        n = len(words) // 6
+        texts += [" ".join(words), " ".join(words + [f"y{rng.randrange(10**6)}" for _ in range(n)]), " ".join(words[:-n])]
+        short = [f"w{rng.randrange(3000)}" for _ in range(13)]
+        texts += [" ".join(short), " ".join([*short, "more"]), " ".join(short[:8]), " ".join([*short[:8], "one"])]
+    truth = check_groups(frame, texts)
+    assert all(truth[7 * i] == truth[7 * i + k] for i in range(60) for k in (1, 2)) and len(set(truth)) < 200
