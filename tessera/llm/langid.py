@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .textkit import kept_out, pieces
 
-#: Labelled texts of each language that are learned from (about as many, those with the lowest hashes); languages at most.
-LABELLED, LANGUAGES = 1_000, 256
+#: Labelled texts of each language that are learned from (about as many, those with the lowest hashes).
+LABELLED = 1_000
 #: Bits of a number: at least, and at most (four of them fill 64).
 ORDER, BITS, MOST_BITS = 4, 6, 16
 #: Bytes of text that are scored at once; share of a language's own texts that the rejection bound lets pass.
@@ -197,13 +197,11 @@ def learn(docs: DataFrame, held: int | None = 1, modulus: int = 3, most: int = L
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     if held is not None:
         known = known.where(~kept_out(held, modulus))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], int(1e6 * min(1.0, most / r["count"]))).otherwise(share)
-    some = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(1e6 * min(1.0, most / r["count"]))) for r in counts], "lang string, share bigint")
+    some = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share"))
     rows = some.select("text", "lang").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     order = np.random.default_rng(3).permutation(rows.num_rows)
     texts, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()

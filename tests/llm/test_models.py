@@ -57,6 +57,11 @@ def test_languages_of_many_letters(rng):
     assert np.allclose(np.exp(model.log_probabilities(code).astype(float)).sum(0), 1, atol=1e-3)
 
 
+def test_all_languages_are_learned(frame):
+    rows = [(6 * k + i, f"lang{k} word " * 3, f"l{k}", None, 0) for k in range(300) for i in range(6)]
+    assert len(langid.learn(frame(rows), held=None).languages) == 300
+
+
 def test_toxicity_held_out(frame, spark, rng, odd):
     rows = []
     for i in range(800):
