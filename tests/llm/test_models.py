@@ -95,6 +95,9 @@ def test_hidden_markov_scores(frame, rng, odd):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got), key=str) == want
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    few = hmm.hmm_scores(frame(rows), top=100, states=3, rounds=1, known=150).collect()  # the other words' counts come by a join
+    show = lambda rows: sorted(((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in rows), key=str)
+    assert show(few) == show(got)
     assert hmm.hmm_scores(frame([])).collect() == []
 
 
@@ -102,7 +105,7 @@ def test_forward_recursion_and_counts():
     rng = np.random.default_rng(2)
     k, classes = 3, 5
     norm = lambda x, axis: x / x.sum(axis, keepdims=True)
-    model = hmm.Model(np.empty(0, np.uint64), np.empty(0, np.int64), 1, norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((classes, k)), 0))
+    model = hmm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((classes, k)), 0))
     size = np.array([1, 4, 2, 6])
     offsets = np.concatenate([[0], np.cumsum(size)])
     sym = rng.integers(0, classes, offsets[-1])
@@ -117,24 +120,39 @@ def test_forward_recursion_and_counts():
                 p *= model.moves[a, b] * model.emits[x, b]
             yield z, p
 
-    want_first, want_moved, at = np.zeros(k), np.zeros((k, k)), 0
+    want_first, want_moved, want_seen, at = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k)), 0
     for i, n in enumerate(size):
         s = sym[at : at + n]
         every = list(paths(s))
         total = sum(p for _, p in every)
-        assert abs(logs[i] - math.log10(total)) < 1e-9
+        assert abs(logs[i] - math.log10(total)) < 1e-5
         gamma = np.zeros((n, k))
         for z, p in every:
             want_first[z[0]] += p / total
             for a, b in zip(z, z[1:], strict=False):
                 want_moved[a, b] += p / total
             gamma[np.arange(n), list(z)] += p / total
-        assert np.allclose(seen[at : at + n], gamma, atol=1e-5)
+        for t, x in enumerate(s):
+            want_seen[x] += gamma[t]
         at += n
-    assert np.allclose(first, want_first, atol=1e-5) and np.allclose(moved, want_moved)
-    assert np.allclose(model.forward(sym, offsets), logs)
+    assert np.allclose(seen, want_seen, atol=1e-5)
+    assert np.allclose(first, want_first, atol=1e-5) and np.allclose(moved, want_moved, atol=1e-5)
+    assert np.allclose(model.forward(sym, offsets), logs, atol=1e-5)
+
+
+def test_stretches_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(3)
+    norm = lambda x, axis: x / x.sum(axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(4), 0), norm(rng.random((4, 4)) ** 4, 1), norm(rng.random((9, 4)) ** 3, 0))
+    offsets = np.concatenate([[0], np.cumsum([3, 70, 1, 16, 33, 8])])
+    sym = rng.integers(0, 9, offsets[-1])
+    whole = model.forward(sym, offsets), *model.forward(sym, offsets, True)
+    monkeypatch.setattr(hmm, "STRETCH", 8)
+    cut = model.forward(sym, offsets), *model.forward(sym, offsets, True)
+    assert np.allclose(whole[0], cut[0], atol=1e-9)
+    assert all(np.allclose(a, b, rtol=1e-4, atol=1e-5) for a, b in zip(whole[1:], cut[1:], strict=True))
 
 
 def test_tokens():
-    w, _, at = hmm.tokens(pa.array(["A b\x0ba", None, "é"]))
+    w, at = hmm.tokens(pa.array(["A b\x0ba", None, "é"]))
     assert at.tolist() == [0, 4, 5, 7] and w[0] == w[2] != w[1] and (w[[3, 4, 6]] == hmm.END).all()
