@@ -240,9 +240,8 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, seed: int = 42,
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of near-duplicate search: independent word fingerprints, the radius that links candidates, longs of the
-#: shingle fingerprint, and bits of it that candidates may differ in (a similarity of 0.8 takes 39 of 256, give or take 6).
-SEEDS, NEAR, LONGS, DIFFER = 3, 5, 4, 64
+#: Bits that fingerprints of likely near duplicates differ in at most; nodes whose texts are picked by a broadcast, more by a shuffle.
+NEAR, PICKED = 3, 500_000
 
 
 def _sets(col: pa.Array, k: int):
@@ -275,52 +274,22 @@ def _sets(col: pa.Array, k: int):
 
 
 def _prints(docs: DataFrame, k: int) -> DataFrame:
-    """key, doc_id, node (hash of the word sequence), fp0.. (of the words) and g0.. (of the shingles)."""
-    names = [f"fp{i}" for i in range(SEEDS)] + [f"g{i}" for i in range(LONGS)]
+    """key, doc_id, node (hash of the word sequence) and fp, the fingerprint of the distinct words."""
 
     def kernel(piece):
-        words, grams, node = _sets(piece.column("text"), k)
-        cols = [fold(mix(h + np.uint64(i + 1)), at) for (h, at), many in ((words, SEEDS), (grams, LONGS)) for i in range(many)]
-        return pa.RecordBatch.from_arrays([piece.column("key"), piece.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (node, *cols))], ["key", "doc_id", "node", *names])
+        (h, at), _, node = _sets(piece.column("text"), k)
+        return pa.RecordBatch.from_arrays([piece.column("key"), piece.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (node, fold(mix(h), at)))], ["key", "doc_id", "node", "fp"])
 
     types = dict(docs.dtypes)
-    return map_texts(docs.select("key", "doc_id", "text"), kernel, f"key bigint, doc_id {types['doc_id']}, node bigint, " + ", ".join(f"{c} bigint" for c in names))
+    return map_texts(docs.select("key", "doc_id", "text"), kernel, f"key bigint, doc_id {types['doc_id']}, node bigint, fp bigint")
 
 
-def _candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """Edges (u, v) between nodes: in each shard every node's linked predecessor of the most alike shingle fingerprint."""
-    grams = tuple(f"g{i}" for i in range(LONGS))
-
-    def local(tries):
-        def run(t: pa.Table) -> pa.Table:
-            t = t.sort_by([("fp", "ascending"), ("node", "ascending")])
-            fp, mine, node = t.column("fp").to_numpy().view(np.uint64), t.column("mine").to_numpy(), t.column("node").to_numpy()
-            wide = [t.column(c).to_numpy().view(np.uint64) for c in grams]
-            best, to = np.full(len(fp), DIFFER + 1, np.int64), np.full(len(fp), -1, np.int64)
-
-            def found(i, j, hit):
-                rows = np.flatnonzero(hit.any(1))
-                i, hit = i[rows], hit[rows]
-                d = sum(np.bitwise_count(g[i][:, None] ^ g[j][None, :]).astype(np.int16) for g in wide)
-                d[~hit] = 32_000
-                near = d.argmin(1)  # the first of equals: the lowest row, as j rises
-                d = d[np.arange(len(i)), near]
-                better = d < best[i]
-                best[i[better]], to[i[better]] = d[better], j[near[better]]
-
-            linked(fp, mine, tries, NEAR, found)
-            some = np.flatnonzero(to >= 0)
-            return pa.table({"u": node[some], "v": node[to[some]]})
-
-        return run
-
-    out = None
-    for s in range(SEEDS):
-        own = nodes.select(F.col(f"fp{s}").alias("fp"), "node", *grams)
-        for k, (mask, r) in enumerate(blocks_of(NEAR)):
-            part = shards(own, NEAR, k, ("node", *grams), n).groupBy("shard").applyInArrow(local(((mask, r), (_ALL, NEAR))), "u bigint, v bigint")
-            out = part if out is None else out.unionByName(part)
-    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _alike(nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) between nodes of linked fingerprints: each with the first of its fingerprint, and the firsts of fingerprints that link."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(firsts, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    far = links(firsts.select("fp"), NEAR).join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.unionByName(far.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).where("u != v").distinct()
 
 
 #: Texts whose shingles are counted to put frequent ones last, frequent shingles at most, and pairs that a task holds at once.
@@ -340,10 +309,10 @@ def _frequent(docs: DataFrame, k: int, n: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """gram, meta and node: the shingles of each text that another text of that similarity must share one of.
+    """gram, size and node: the shingles of each text that another text of that similarity must share one of, and how many it has in all.
 
-    With a shingles in a fixed order (rare ones first), two texts of the similarity share one of the
-    first a - ceil(similarity * a) + 1.  meta holds a and, below it, how many shingles follow, this one included.
+    With n shingles in a fixed order (rare ones first), two texts of the similarity share one of the
+    first n - ceil(similarity * n) + 1.
     """
     order = np.argsort(frequent)
     keys, ranks = frequent[order], order + 1
@@ -357,15 +326,13 @@ def _prefixes(docs: DataFrame, k: int, similarity: float, frequent: np.ndarray)
             h = h[np.lexsort((h, np.where(keys[spot] == h, ranks[spot], 0), row))]
         place = np.arange(len(h)) - at[row]
         first = place <= (n - np.ceil(similarity * n - 1e-9))[row]
-        size = n[row[first]].astype(np.int64)
-        meta = (size << 32) | (size - place[first])
-        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(meta), pa.array(node[row[first]].view(np.int64))], ["gram", "meta", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n[row[first]].astype(np.int32)), pa.array(node[row[first]].view(np.int64))], ["gram", "size", "node"])
 
-    return map_texts(docs.select("text"), kernel, "gram bigint, meta bigint, node bigint")
+    return map_texts(docs.select("text"), kernel, "gram bigint, size int, node bigint")
 
 
 def _runs(rows: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel`` (columns as arrays to batches of columns) over whole runs of one gram, sorted by gram, meta and node."""
+    """``kernel`` (columns as arrays to batches of columns) over whole runs of one gram, sorted by gram, size and node."""
     names = rows.columns
     out_names = [x.split()[0] for x in schema.split(", ")]
 
@@ -384,79 +351,91 @@ def _runs(rows: DataFrame, kernel, schema: str) -> DataFrame:
             for out in kernel(*tail):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], out_names)
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "meta", "node").mapInArrow(run, schema)
+    return rows.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(run, schema)
 
 
 def _meeting(prefixes: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``prefixes`` whose shingle another node of a size that allows the similarity has, too; repeated rows once."""
 
-    def kernel(gram, meta, node):
+    def kernel(gram, size, node):
         new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (meta[1:] != meta[:-1]) | (node[1:] != node[:-1])
-        gram, meta, node = gram[new], meta[new], node[new]
-        size = meta >> 32
+        new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+        gram, size, node = gram[new], size[new], node[new]
         near = (gram[1:] == gram[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-9)
         keep = np.zeros(len(gram), bool)
         keep[1:] |= near
         keep[:-1] |= near
         if keep.any():
-            yield gram[keep], meta[keep], node[keep]
+            yield gram[keep], size[keep], node[keep]
+
+    return _runs(prefixes, kernel, "gram bigint, size int, node bigint")
+
 
-    return _runs(prefixes, kernel, "gram bigint, meta bigint, node bigint")
+def _shared(i, j, a, b, similarity: float):
+    """Pairs (u > v) of the nodes i and j of sizes a and b with how often they stand here, and how many prefix shingles they have to share.
+
+    Of the two prefixes, let the one that ends first be u's.  What both texts share up to there lies in both
+    prefixes; beyond it u has ceil(similarity * size) - 1 shingles.  So shared prefix shingles and those make up
+    what the similarity takes.
+    """
+    u, v = np.maximum(i, j), np.minimum(i, j)
+    least = np.ceil(similarity / (1 + similarity) * (a.astype(np.int64) + b) - 1e-9) - np.ceil(similarity * np.maximum(a, b) - 1e-9) + 1
+    order = np.lexsort((v, u))
+    u, v, least = u[order], v[order], least[order]
+    head = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.empty(0, np.int64)
+    return u[head], v[head], np.diff(np.append(head, len(u))), least[head].astype(np.int64)
+
+
+_SHARED = "u bigint, v bigint, n bigint, least bigint"
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("u", "v")
 
 
 def _hubs(meeting: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of each node with that node of its shingle which meets others in most shingles, such as the original of many copies.
+    """Edges (u, v) of each node with that node of its shingles which meets others in most shingles, such as the original of many copies.
 
-    Only pairs that may reach the similarity by their sizes and by what follows the shingle.
+    Only pairs that share as many shingles in this way as the similarity takes.
     """
-    share = similarity / (1 + similarity)
 
-    def kernel(gram, meta, node, many):
+    def kernel(gram, size, node, many):
         order = np.lexsort((node, -many, gram))
         first = np.concatenate([[True], gram[1:] != gram[:-1]])  # gram is sorted already
         at = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        hub, size, rest = node[at], meta >> 32, meta & 0xFFFFFFFF
-        other = (hub != node) & (np.minimum(rest, rest[at]) >= share * (size + size[at]) - 1e-9)
-        yield np.maximum(hub, node)[other], np.minimum(hub, node)[other]
+        hub = node[at]
+        other = (hub != node) & (np.minimum(size, size[at]) >= similarity * np.maximum(size, size[at]) - 1e-9)
+        yield _shared(hub[other], node[other], size[at][other], size[other], similarity)
 
     many = meeting.groupBy("node").agg(F.count("*").alias("many"))
-    return _runs(meeting.join(many, "node").select("gram", "meta", "node", "many"), kernel, "u bigint, v bigint").distinct()
+    return _enough(_runs(meeting.join(many, "node").select("gram", "size", "node", "many"), kernel, _SHARED))
 
 
 def _apart(meeting: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of all nodes of different groups that share a shingle of their prefixes and may reach the similarity."""
-    share = similarity / (1 + similarity)
+    """Edges (u, v) of all nodes of different groups that share as many prefix shingles as the similarity takes."""
 
-    def kernel(gram, meta, node, group):
+    def kernel(gram, size, node, group):
         first = np.concatenate([[True], gram[1:] != gram[:-1]])
         starts = np.flatnonzero(first)
         mixed = (np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts))[np.cumsum(first) - 1]
-        gram, meta, node, group = gram[mixed], meta[mixed], node[mixed], group[mixed]
-        size, rest = meta >> 32, meta & 0xFFFFFFFF
+        gram, size, node, group = gram[mixed], size[mixed], node[mixed], group[mixed]
         k, s, held, parts = np.arange(len(gram)), 1, 0, []
 
-        def distinct():
-            pairs = np.unique(np.concatenate(parts, axis=1), axis=1)
-            return pairs[0], pairs[1]
-
         while len(k):
             k = k[: np.searchsorted(k, len(gram) - s)]
             k = k[gram[k + s] == gram[k]]
             k = k[size[k] >= similarity * size[k + s] - 1e-9]
-            may = (group[k] != group[k + s]) & (np.minimum(rest[k], rest[k + s]) >= share * (size[k] + size[k + s]) - 1e-9)
-            i, j = node[k[may]], node[k[may] + s]
-            if len(i):
-                parts.append(np.stack([np.maximum(i, j), np.minimum(i, j)]))
-                held += len(i)
+            may = k[group[k] != group[k + s]]
+            parts.append((node[may], node[may + s], size[may], size[may + s]))
+            held += len(may)
             if held > PAIRS:
-                yield distinct()
+                yield _shared(*(np.concatenate(x) for x in zip(*parts, strict=True)), similarity)
                 held, parts = 0, []
             s += 1
-        if parts:
-            yield distinct()
+        if held:
+            yield _shared(*(np.concatenate(x) for x in zip(*parts, strict=True)), similarity)
 
-    return _runs(meeting.select("gram", "meta", "node", "group"), kernel, "u bigint, v bigint").distinct()
+    return _enough(_runs(meeting.select("gram", "size", "node", "group"), kernel, _SHARED))
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -464,36 +443,34 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: f
 
     Texts of equal words are one node.  Two nodes are linked where the Jaccard similarity of their
     distinct shingles, computed from the shingles themselves, is ``similarity`` or more; links make the
-    groups.  First come the likely pairs: nodes alike in word fingerprints, and nodes with the hubs of
-    their shingles.  Then every other pair that shares a shingle of its prefixes (as any two texts of
+    groups.  First come the likely pairs: nodes of word fingerprints that the vantage-point trees link, and
+    nodes with the hubs of their shingles.  Then every other pair that shares a shingle of its prefixes (as any two texts of
     the similarity do) is verified, unless verified links join its ends already.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     prints = stored(_prints(keyed, shingle_words))
-    names = [c for c in prints.columns if c not in ("key", "doc_id", "node")]
-    nodes = stored(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in names), F.min("key").alias("key")))
-    n = nodes.count()
-    meeting = stored(_meeting(_prefixes(keyed, shingle_words, similarity, _frequent(keyed, shingle_words, n)), similarity))
+    nodes = stored(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("key")))
+    meeting = stored(_meeting(_prefixes(keyed, shingle_words, similarity, _frequent(keyed, shingle_words, nodes.count())), similarity))
     met = meeting.select("node").distinct()
-    edges = stored(_candidates(nodes, n).unionByName(_hubs(meeting, similarity)).distinct().join(met.withColumnRenamed("node", "u"), "u", "left_semi").join(met.withColumnRenamed("node", "v"), "v", "left_semi"))
-    texts = keyed.join(nodes.join(met, "node").select("key", "node"), "key").dropDuplicates(["node"])
 
     def kernel(piece):
-        _, (h, at), _ = _sets(piece.column("text"), shingle_words)
-        low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-        return pa.RecordBatch.from_arrays([piece.column("node"), low], ["node", "shingles"])
-
-    sets = stored(map_texts(texts.select("node", "text"), kernel, "node bigint, shingles array<int>"))
+        node, (_, (h, at), _) = piece.column("node"), _sets(piece.column("text"), shingle_words)
+        return pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "shingles"])
 
     def verified(pairs):
+        pairs = stored(pairs)
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        picked = stored(nodes.join(ends, "node", "left_semi").select("key", "node"))
+        picked = F.broadcast(picked) if picked.count() <= PICKED else picked
+        sets = stored(map_texts(keyed.join(picked, "key").select("node", "text"), kernel, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
         both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
         shared = F.size(F.array_intersect("a", "b"))
-        union = F.size(F.array_distinct("a")) + F.size(F.array_distinct("b")) - shared
-        return both.where(shared >= F.lit(similarity) * union).select("u", "v")
+        return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
-    likely = stored(components(verified(edges)))
+    likely = _alike(nodes).join(met.withColumnRenamed("node", "u"), "u", "left_semi").join(met.withColumnRenamed("node", "v"), "v", "left_semi")
+    likely = stored(components(verified(likely.unionByName(_hubs(meeting, similarity)).distinct())))
     grouped = meeting.join(likely.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    links_ = likely.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(stored(_apart(grouped, similarity))))
+    links_ = likely.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(_apart(grouped, similarity)))
     comps = components(links_).withColumnsRenamed({"root": "group"})
     return prints.select("key", "doc_id", "node").join(comps, "node", "left").withColumn("group", F.coalesce("group", "node"))
 
