@@ -31,7 +31,7 @@ START_TOKENS, START_LONGEST, START_ROUNDS, ROUNDS = 600_000, 65_536, 10, 2
 PRIOR, EVEN = 50.0, 5.0
 #: Stands for the end of a text; bytes of text that are cut into tokens at once; tokens that the recursion runs over
 #: side by side (whole texts); bytes of classes that a task sorts by length at once; tokens after which a long text is cut into stretches.
-END, PIECE, SIDE_BY_SIDE, HELD, STRETCH = 1, 1 << 20, 1_000_000, 24 << 20, 1 << 14
+END, PIECE, SIDE_BY_SIDE, HELD, STRETCH = 1, 1 << 19, 1_000_000, 24 << 20, 1 << 14
 _TAILS = np.uint64(ENDINGS - 1)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once (one longer text makes a piece of its own).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19
 _DEFAULT_DIR: dict[str, str] = {}
 
 
