@@ -2,12 +2,15 @@
 
 The hashes of all rolling word pairs of all texts are joined with those of the templates; a match at
 word i of a text and word j of a template votes for the diagonal i - j.  A base phrase stands where a
-diagonal has the votes of all its pairs.  Votes of a longer template on neighbouring diagonals (a word
-more or less between) are merged, and the span counts when enough of the template's pairs are there.
+diagonal has the votes of all its pairs.  For a longer template each diagonal is merged with its neighbours
+(a word more or less between), and the span is verified: every place of the template takes its nearest vote,
+only votes whose words follow one another in the text count, and enough of the template's pairs have to.
+So a place counts once however often its words are repeated.
 """
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,53 +32,79 @@ TEMPLATES = (
     ("the person who associated a work with this deed has dedicated the work to the public domain", "cc0"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
 )
-#: Share of a template's word pairs that a span has to hold, and steps between diagonals that are merged.
-ENOUGH, STEP = 0.7, 2
+#: Share of a template's word pairs that a span has to hold in order, and diagonals to either side that are merged.
+ENOUGH, STEP = 0.7, 4
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _grams(spark: SparkSession, base, templates) -> DataFrame:
-    """One row a word pair of a template: tid, label, base, pairs, j, a, b, h.  As many rows as the templates have words."""
+def _pairs(base, templates) -> list[tuple]:
+    """One row a word pair of a template: tid, label, base, pairs, j, a, b, h (what ``xxhash64(a, b)`` gives)."""
     rows = []
     for tid, (text, label, is_base) in enumerate([(*x, True) for x in base] + [(*x, False) for x in templates]):
         words = text.split()
-        rows += [(tid, label, is_base, len(words) - 1, j, a, b) for j, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    df = spark.createDataFrame(rows, "tid int, label string, base boolean, pairs int, j int, a string, b string")
-    return df.withColumn("h", F.xxhash64("a", "b"))
+        for j, (a, b) in enumerate(zip(words, words[1:], strict=False)):
+            h = xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+            rows.append((tid, label, is_base, len(words) - 1, j, a, b, h - (1 << 64) if h >> 63 else h))
+    return rows
+
+
+def _grams(spark: SparkSession, pairs: list[tuple]) -> DataFrame:
+    """As many rows as the templates have words."""
+    return spark.createDataFrame(pairs, "tid int, label string, base boolean, pairs int, j int, a string, b string, h bigint")
 
 
 def scan_spans(docs: DataFrame, base=BASE, templates=TEMPLATES, enough: float = ENOUGH, step: int = STEP) -> DataFrame:
     """rid, doc_id, n_words and, for each span found, label, base, start, stop (words) and cover (0 to 1).
 
     Every row of ``docs`` has at least one row here; one without a span has nulls in the rest.  rid
-    tells rows of ``docs`` apart, so repeated rows stay apart too.
+    tells rows of ``docs`` apart, so repeated rows stay apart too.  Of spans of one template that lie within
+    twice ``step`` diagonals the best covered is given.
     """
-    spark = docs.sparkSession
-    parts = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), split_words(F.lower("text"), APART).alias("parts"))
+    pairs = _pairs(base, templates)
+    parts = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), split_words(F.translate("text", UPPER, LOWER), APART).alias("parts"))
     words = parts.select("doc_id", "rid", n_inner("parts").cast("bigint").alias("n_words"), inner("parts").alias("w"))
-    pairs = F.transform(
+    every = F.transform(
         F.when(F.col("n_words") > 1, F.sequence(F.lit(0), (F.col("n_words") - 2).cast("int"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1)).alias("h"), F.get("w", i).alias("x"), F.get("w", i + 1).alias("y")),
-    )
-    rolled = words.select("doc_id", "rid", "n_words", pairs.alias("p")).select("doc_id", "rid", "n_words", F.posexplode_outer("p").alias("i", "g"))
-    rolled = rolled.select("doc_id", "rid", "n_words", "i", F.col("g.h").alias("gh"), F.col("g.x").alias("x"), F.col("g.y").alias("y"))
-    grams = F.broadcast(_grams(spark, base, templates))
-    hits = rolled.join(grams, F.expr("gh = h AND x = a AND y = b"), "left").where("tid IS NOT NULL OR i IS NULL OR i = 0")
-    hits = hits.repartition("rid")
-    votes = hits.groupBy("rid", "doc_id", "n_words", "tid", "label", "base", "pairs", (F.col("i") - F.col("j")).alias("diag")).agg(
-        F.count("j").alias("votes"), F.min("i").alias("lo"), F.max("i").alias("hi")
+        lambda i: F.struct(i.alias("i"), F.xxhash64(F.get("w", i), F.get("w", i + 1)).alias("h")),
     )
-    along = Window.partitionBy("rid", "tid", "base").orderBy("diag")
-    apart = F.when(F.col("base") | (F.col("diag") - F.lag("diag").over(along) > step), 1).otherwise(0)
-    runs = votes.withColumn("apart", apart).withColumn("run", F.sum("apart").over(along))
-    spans = runs.groupBy("rid", "doc_id", "n_words", "tid", "label", "base", "pairs", "run").agg(
-        F.sum("votes").alias("votes"), F.min("lo").cast("bigint").alias("start"), (F.max("hi") + 2).cast("bigint").alias("stop")
+    known = F.filter(every, lambda g: g.h.isin(sorted({r[-1] for r in pairs})))
+    met = words.select("doc_id", "rid", "n_words", F.transform(known, lambda g: F.struct(g.i.alias("i"), g.h.alias("gh"), F.get("w", g.i).alias("x"), F.get("w", g.i + 1).alias("y"))).alias("met"))
+    rolled = met.select("doc_id", "rid", "n_words", F.explode_outer("met").alias("g")).select("doc_id", "rid", "n_words", "g.*")
+    hits = rolled.join(F.broadcast(_grams(docs.sparkSession, pairs)), F.expr("gh = h AND x = a AND y = b"), "left").repartition("rid")
+    diag = (F.col("i") - F.col("j")).alias("diag")
+    votes = hits.groupBy("rid", "doc_id", "n_words", "tid", "label", "base", "pairs", diag).agg(F.collect_list("j").alias("js"))
+    along = Window.partitionBy("rid", "tid").orderBy("diag")
+    merged = F.flatten(F.collect_list(F.transform("js", lambda j: F.struct(j.alias("j"), F.col("diag").alias("diag")))).over(along.rangeBetween(-step, step)))
+    least = F.ceil(F.lit(enough) * F.col("pairs") - 1e-9)
+    by_place = F.array_sort(F.transform("merged", lambda x: F.struct(x.j.alias("j"), F.abs(x.diag - F.col("diag")).alias("off"), x.diag.alias("diag"))))
+    none = F.lit(-1)
+    walk = F.aggregate(
+        by_place,
+        F.struct(none.alias("j"), none.alias("i"), F.lit(0).alias("n"), none.alias("lo")),
+        lambda s, x: F.when(x.j == s.j, s)
+        .when(x.j + x.diag > s.i, F.struct(x.j.alias("j"), (x.j + x.diag).alias("i"), (s.n + 1).alias("n"), F.when(s.n == 0, x.j + x.diag).otherwise(s.lo).alias("lo")))
+        .otherwise(F.struct(x.j.alias("j"), s.i.alias("i"), s.n.alias("n"), s.lo.alias("lo"))),
     )
-    cover = F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))
-    real = F.when(F.col("base"), F.col("votes") == F.col("pairs")).otherwise(
-        (cover >= enough) & (F.col("stop") - F.col("start") <= F.col("pairs") + 1 + step * F.col("pairs") / 4)
+    whole = F.col("base") & (F.size("js") == F.col("pairs"))
+    places = F.size(F.array_distinct(F.transform("merged", lambda x: x.j)))
+    first = F.struct(F.col("diag").alias("lo"), (F.col("diag") + F.col("pairs") - 1).alias("i"), F.col("pairs").alias("n"))
+    span = F.when(whole, first).when(~F.col("base") & (places >= least), F.transform(F.array(walk), lambda s: F.struct(s.lo.alias("lo"), s.i.alias("i"), s.n.alias("n")))[0])
+    found = votes.withColumn("merged", merged).withColumn("span", span)
+    better = F.max(F.struct(F.col("span.n"), F.size("js"), -F.col("diag"))).over(along.rangeBetween(-2 * step, 2 * step))
+    found = found.withColumn("better", better)
+    best = F.col("base") | (F.col("better") == F.struct(F.col("span.n"), F.size("js"), -F.col("diag")))
+    real = F.coalesce((F.col("span.n") >= least) & best, F.lit(False))
+    given = lambda c: F.when(real, c)
+    return found.select(
+        "rid",
+        "doc_id",
+        "n_words",
+        given(F.col("label")).alias("label"),
+        given(F.col("base")).alias("base"),
+        given(F.col("span.lo")).cast("bigint").alias("start"),
+        given(F.col("span.i") + 2).cast("bigint").alias("stop"),
+        given(F.col("span.n") / F.col("pairs")).alias("cover"),
     )
-    real = F.coalesce(real, F.lit(False))
-    return spans.select("rid", "doc_id", "n_words", *(F.when(real, F.col(c)).alias(c) for c in ("label", "base", "start", "stop")), F.when(real, cover).alias("cover"))
 
 
 def scan_licenses(docs: DataFrame, **how) -> DataFrame:
@@ -84,7 +113,8 @@ def scan_licenses(docs: DataFrame, **how) -> DataFrame:
     n_base counts the places of base phrases; first_word and last_word are their smallest and largest
     start (null without any).  Labels are distinct, sorted and comma-joined, the empty string without
     any; score is the best cover of a span, 0 without one.  Null and empty texts have no words.
-    Repeated rows and null ids each keep their row; other columns are not read.
+    Repeated rows and null ids each keep their row; other columns are not read, so their names may clash;
+    texts of any length are scanned whole.  Only A-Z are lower-cased.  An empty table gives an empty result.
     """
     spans = scan_spans(docs, **how)
     base = F.coalesce(F.col("base"), F.lit(False))
@@ -104,30 +134,29 @@ def scan_licenses(docs: DataFrame, **how) -> DataFrame:
 
 
 def licenses_sql(base=BASE, templates=TEMPLATES, enough: float = ENOUGH, step: int = STEP) -> str:
-    """:func:`scan_licenses` as SQL over a table named documents."""
-    rows = []
-    for tid, (text, label, is_base) in enumerate([(*x, "true") for x in base] + [(*x, "false") for x in templates]):
-        words = text.split()
-        rows += [f"({tid}, '{label}', {is_base}, {len(words) - 1}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    """:func:`scan_licenses` as SQL over a table named documents; spans are put together place by place, by joins."""
+    rows = [f"({tid}, '{label}', {str(is_base).lower()}, {n}, {j}, '{a}', '{b}')" for tid, label, is_base, n, j, a, b, _ in _pairs(base, templates)]
     return f"""
 WITH t(tid, label, base, pairs, j, a, b) AS (VALUES {", ".join(rows)}), d AS (
-  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), g AS (
   SELECT rid, unnest(range(1, len(w))) AS i, w FROM d
 ), v AS (
-  SELECT rid, tid, label, base, pairs, i - 1 - j AS diag, count(*) AS votes, min(i - 1) AS lo, max(i - 1) AS hi
-  FROM g JOIN t ON w[i] = a AND w[i + 1] = b GROUP BY ALL
-), u AS (
-  SELECT *, CASE WHEN base OR diag - lag(diag) OVER (PARTITION BY rid, tid ORDER BY diag) > {step} THEN 1 ELSE 0 END AS apart FROM v
-), r AS (
-  SELECT *, sum(apart) OVER (PARTITION BY rid, tid ORDER BY diag) AS run FROM u
-), s AS (
-  SELECT rid, label, base, pairs, sum(votes) AS votes, min(lo) AS start, max(hi) + 2 AS stop FROM r GROUP BY rid, tid, label, base, pairs, run
+  SELECT rid, tid, label, base, pairs, i - 1 AS i, j, i - 1 - j AS diag FROM g JOIN t ON w[i] = a AND w[i + 1] = b
+), c AS (
+  SELECT DISTINCT rid, tid, label, pairs, diag FROM v WHERE NOT base
+), near AS (
+  SELECT c.rid, c.tid, c.label, c.pairs, c.diag, v.j, v.j + arg_min(v.diag, abs(v.diag - c.diag) * 2 + CAST(v.diag > c.diag AS INT)) AS i
+  FROM c JOIN v ON v.rid = c.rid AND v.tid = c.tid AND abs(v.diag - c.diag) <= {step} GROUP BY c.rid, c.tid, c.label, c.pairs, c.diag, v.j
+), o AS (
+  SELECT *, i > coalesce(max(i) OVER (PARTITION BY rid, tid, diag ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fits FROM near
 ), e AS (
-  SELECT *, least(1.0::DOUBLE, CAST(votes AS DOUBLE) / pairs) AS cover FROM s
-  WHERE CASE WHEN base THEN votes = pairs ELSE least(1.0::DOUBLE, CAST(votes AS DOUBLE) / pairs) >= {enough} AND stop - start <= pairs + 1 + {step} * pairs / 4 END
+  SELECT rid, label, false AS base, NULL AS start, CAST(count(*) FILTER (fits) AS DOUBLE) / pairs AS cover FROM o GROUP BY rid, tid, label, pairs, diag
+  HAVING count(*) FILTER (fits) >= ceil({enough} * pairs - 1e-9)
+  UNION ALL
+  SELECT rid, label, true, diag, 1.0::DOUBLE FROM v WHERE base GROUP BY rid, tid, label, pairs, diag HAVING count(*) = pairs
 ), m AS (
-  SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  SELECT rid, count(*) FILTER (base) AS n_base, min(start) AS first_word, max(start) AS last_word,
          array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(cover) AS score
   FROM e GROUP BY rid
 )

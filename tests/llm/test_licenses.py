@@ -1,6 +1,9 @@
+import math
 import re
 
-from tessera.llm.licenses import BASE, scan_licenses
+import duckdb
+
+from tessera.llm.licenses import BASE, ENOUGH, STEP, TEMPLATES, licenses_sql, scan_licenses, scan_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -29,5 +32,59 @@ def test_longer_templates_survive_small_changes(frame):
     assert got[2]["labels"] == "" and got[2].score == 0
 
 
+def aligned(text):
+    """Labels and best cover of the longer templates, place by place."""
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    labels, best = set(), 0.0
+    for template, label in TEMPLATES:
+        t = template.split()
+        for d in range(-len(t), len(words)):
+            last, n = -1, 0
+            for j in range(len(t) - 1):
+                spots = [e for e in sorted(range(d - STEP, d + STEP + 1), key=lambda e: (abs(e - d), e)) if e + j >= 0 and words[e + j : e + j + 2] == t[j : j + 2]]
+                if spots and spots[0] + j > last:
+                    last, n = spots[0] + j, n + 1
+            if n >= math.ceil(ENOUGH * (len(t) - 1) - 1e-9):
+                labels.add(label)
+                best = max(best, n / (len(t) - 1))
+    return labels, best
+
+
+MIT = TEMPLATES[0][0]
+REPEATED = ["creative commons " * 6, "public domain " * 7, "documentation files " * 14, MIT + " documentation files" * 10, "documentation files " * 10 + MIT, MIT + " " + MIT]
+
+
+def test_spans_are_verified(frame, rng):
+    rows = [(i, t, None, None, 0) for i, t in enumerate(REPEATED)]
+    got = {r.doc_id: r for r in scan_licenses(frame(rows)).collect()}
+    assert [got[i]["labels"] for i in range(6)] == ["", "", "", "mit", "mit", "mit"]
+    assert [got[i].score for i in range(6)] == [0, 0, 0, 1, 1, 1]
+    spans = sorted((r.start, r.stop) for r in scan_spans(frame(rows)).where("doc_id = 5 AND label = 'mit'").collect())
+    n = len(MIT.split())
+    assert spans == [(0, n), (n, 2 * n)]
+    for i in range(100, 160):
+        words = (" ".join(rng.choice(TEMPLATES)[0] for _ in range(rng.randrange(1, 3)))).split()
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(words))
+            if rng.random() < 0.5:
+                words[at : at + rng.randrange(3)] = []
+            else:
+                words[at:at] = rng.choice(["of", "the", "software", "x y", "documentation files"]).split()
+        rows.append((i, " ".join(words), None, None, 0))
+    got = {r.doc_id: r for r in scan_licenses(frame(rows)).collect()}
+    for i, text, *_ in rows:
+        labels, best = aligned(text)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == labels | base and abs(got[i].score - (1.0 if base else best)) < 1e-12
+    documents = frame(rows, extra=False).toPandas()  # noqa: F841
+    want = duckdb.sql(licenses_sql()).fetchall()
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r["labels"], r.score)) for r in got.values())
+
+
+def test_only_ascii_is_lower_cased(frame):
+    got = scan_licenses(frame([(1, "MIT LICEN\u017fE apache \u212aicense MIT license", None, None, 0)])).first()
+    assert (got.n_words, got.n_base, got.first_word) == (6, 1, 4)
+
+
 def test_empty(frame):
     assert scan_licenses(frame([])).collect() == []
