@@ -148,11 +148,11 @@ def learn(rows: list[dict], features=FEATURES, precise: float = PRECISE) -> list
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> list[Rule]:
-    """Rules from the at most ``most`` labelled rows whose hashed doc_id comes first; statistics of whole texts."""
+    """Rules from the at most ``most`` labelled rows whose hashed doc_id comes first; statistics of whole texts, of repeated ids the least."""
     some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = docs.select("doc_id", "text").join(F.broadcast(first_hashed(some, most)), "doc_id")
+    known = docs.select("doc_id", "text").join(F.broadcast(first_hashed(some, most)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
     stats = with_features(text_stats(known, "doc_id", "quality"))
-    rows = stats.select(*FEATURES, (F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune")).limit(2 * most).collect()
+    rows = stats.select(*FEATURES, (F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune")).collect()
     return learn([r.asDict() for r in rows])
 
 
