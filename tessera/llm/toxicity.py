@@ -2,9 +2,10 @@
 
 A word's embedding is made of rows of several hashed tables, for the whole word and for its opening bytes,
 so inflected forms share rows and words that meet in one table are told apart by the others.  Rows that
-too few training texts hold are zero.  A text's language is not
-given: texts fall into clusters by the accented letters they use, and each cluster has a threshold of its
-own, at which the score is 0.5.
+too few training texts hold are zero.  A text's language is not given: it is read off the text, from the
+scripts that its bytes belong to and from its short words (articles, prepositions), by clusters of the
+training texts.  Each cluster has a threshold of its own, at which the score is 0.5, from texts that the
+network was not trained on; the fewer of them there are, the more it leans to the threshold of all.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 4, 6, (1, 2, 3)
 #: Opening bytes of a word that have a table each, beside the whole word.
 OPENINGS = (4, 5, 6, 7)
 SIDES = 1 + len(OPENINGS)
-EPOCHS, BATCH, RATE, MIN_TEXTS, CLUSTERS = 6, 64, 0.05, 5, 4
+EPOCHS, BATCH, RATE, MIN_TEXTS = 6, 64, 0.05, 5
+#: Set-aside toxic texts that a language cluster takes, clusters at most, and set-aside texts that the threshold of all counts as.
+PER_CLUSTER, CLUSTERS, LEAN = 15, 64, 20
+#: Buckets of a profile: short words, and lead bytes of letters beyond ASCII.
+SHORT, LEADS = 64, 64
 #: Bytes that keep words apart: ASCII other than letters and digits.
 APART = np.zeros(256, bool)
 APART[:128] = True
@@ -34,7 +39,7 @@ APART[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
 def encode(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in each table of all texts' words, each text followed by two pads (0) and holding three entries at least; its offsets; its profile of accents."""
+    """Rows in each table of all texts' words, each text followed by two pads (0) and holding three entries at least; its offsets; its profile of short words and scripts."""
     data, ends = raw(col)
     data = LOWER[data]
     starts, stops, at = words_of(data, ends, APART)
@@ -47,12 +52,12 @@ def encode(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = offsets[row] + np.arange(len(starts)) - at[row]
     hashed = word_hashes(data, np.concatenate([starts] * SIDES), np.concatenate([stops, *(np.minimum(starts + k, stops) for k in OPENINGS)]))
     out[:, place] = (hashed % np.uint64(BUCKETS - 1)).astype(np.int32).reshape(SIDES, -1) + 1
-    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.empty(0, np.int64)
-    text = np.searchsorted(ends, lead, "right") - 1
-    profile = np.bincount(text * 64 + (data[np.minimum(lead + 1, len(data) - 1)] & 63) if len(lead) else np.empty(0, np.int64), minlength=64 * n)[: 64 * n].reshape(n, 64).astype(np.float32)
-    length = np.maximum(1, np.diff(ends))[:, None]
-    seen = profile.sum(1, keepdims=True)
-    return out, offsets, np.concatenate([profile / np.maximum(1, seen), np.minimum(1, 10 * seen / length)], 1)
+    short = np.flatnonzero(stops - starts <= 3)
+    words = np.bincount(row[short] * SHORT + (hashed[short] >> np.uint64(40)).astype(np.int64) % SHORT, minlength=SHORT * n).reshape(n, SHORT)
+    lead = np.flatnonzero(data >= 0xC2)
+    scripts = np.bincount((np.searchsorted(ends, lead, "right") - 1) * LEADS + (data[lead] & (LEADS - 1)), minlength=LEADS * n).reshape(n, LEADS)
+    share = lambda x, of: (x / np.maximum(1, of)[:, None]).astype(np.float32)
+    return out, offsets, np.concatenate([share(words, words.sum(1)), 4 * share(scripts, np.diff(ends))], 1)
 
 
 @dataclass
@@ -94,30 +99,69 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * z, -500, 500)))
 
     def cluster(self, profile: np.ndarray) -> np.ndarray:
-        return ((profile[:, None, :] - self.centres[None]) ** 2).sum(2).argmin(1)
+        return _nearest(profile, self.centres)
 
 
 def _clusters(profile: np.ndarray, k: int) -> np.ndarray:
-    """k-means from farthest-first centres."""
-    picks = [profile.mean(0)]
-    for _ in range(k - 1):
-        picks.append(profile[np.min([((profile - p) ** 2).sum(1) for p in picks], axis=0).argmax()])
+    """k-means; the first centres are drawn one by one, by squared distance from those before."""
+    rng, picks = np.random.default_rng(9), [profile.mean(0)]
+    gap = ((profile - picks[0]) ** 2).sum(1).astype(np.float64)
+    while len(picks) < k and gap.sum() > 0:
+        picks.append(profile[rng.choice(len(profile), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((profile - picks[-1]) ** 2).sum(1))
     centres = np.array(picks)
     for _ in range(12):
-        near = ((profile[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
-        centres = np.array([profile[near == c].mean(0) if (near == c).any() else centres[c] for c in range(k)])
+        near = _nearest(profile, centres)
+        centres = np.array([profile[near == c].mean(0) if (near == c).any() else centres[c] for c in range(len(centres))])
     return centres
 
 
+def _nearest(profile: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1)[None] - 2 * profile @ centres.T).argmin(1)
+
+
+def gradients(model: Model, rows: np.ndarray, ends: np.ndarray, toxic: np.ndarray, weight: np.ndarray):
+    """Of the weighted mean log loss of some texts: its value, the gradients of filters, biases and output, and those of the table rows (places, values)."""
+    x = model.embedded(rows)
+    hidden = x.shape[1]
+    top, y = model.pooled(x, ends)
+    act = np.maximum(top, 0)
+    z = np.clip(act @ model.out + model.out_bias, -30, 30)
+    loss = float((weight * (np.logaddexp(0, z) - toxic * z)).mean())
+    d = ((1 / (1 + np.exp(-z)) - toxic) * weight / len(toxic)).astype(x.dtype)
+    d_top = d[:, None] * model.out[None] * (top > 0)
+    owner = np.repeat(np.arange(len(toxic)), np.diff(ends))
+    hit = y == top[owner]
+    place = np.zeros(top.shape, np.int64)
+    for f in range(y.shape[1]):
+        spots = np.flatnonzero(hit[:, f])[::-1]
+        place[owner[spots], f] = spots  # the first of equals stays
+    found: dict = {"out": act.T @ d, "bias": d.sum()}
+    spots, values = [], []
+    for wi, w in enumerate(WIDTHS):
+        cols = slice(wi * FILTERS, (wi + 1) * FILTERS)
+        spot, g = place[:, cols], d_top[:, cols]
+        for j in range(w):
+            inputs = x[(spot + j).ravel()].reshape(*spot.shape, hidden)
+            spots.append((spot + j).ravel())
+            values.append((g[:, :, None] * model.filters[wi][j].T[None]).reshape(-1, hidden))
+            found["f", wi, j] = np.einsum("nf,nfh->hf", g, inputs)
+        found["b", wi] = g.sum(0)
+    return loss, found, np.concatenate(spots), np.concatenate(values)
+
+
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Model:
     """A model of the given texts (whole) and labels; a fifth of them only sets the thresholds."""
     rng = np.random.default_rng(seed)
     parts = [encode(b.column(0)) for b in pieces(pa.record_batch([texts], ["text"]), "text", PIECE)]
     at = np.concatenate([p[0] for p in parts], 1) if parts else np.zeros((SIDES, 0), np.int32)
     offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]) if parts else [])]).astype(np.int64)
-    profile = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, 65), np.float32)
+    profile = np.concatenate([p[2] for p in parts]) if parts else np.zeros((0, SHORT + LEADS), np.float32)
     del parts
     n = len(toxic)
+    fit = np.arange(n) % 5 != 0
+    clusters = max(1, min(CLUSTERS, int((toxic[~fit] == 1).sum()) // PER_CLUSTER))
+    centres = _clusters(profile, clusters) if n else np.zeros((1, SHORT + LEADS), np.float32)
     hidden = SIDES * DIM
     model = Model(
         [rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32) for _ in range(SIDES)],
@@ -125,10 +169,9 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Model:
         [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
         rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32),
         0.0,
-        _clusters(profile, min(CLUSTERS, n)) if n else np.zeros((1, 65)),
-        np.zeros(min(CLUSTERS, n) if n else 1),
+        centres,
+        np.zeros(len(centres)),
     )
-    fit = np.arange(n) % 5 != 0
     both = len(set(toxic[fit].tolist())) == 2
     if not both:  # nothing to tell apart: the rate known so far
         model.out[:] = 0
@@ -167,31 +210,14 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Model:
             index = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in some])
             ends = np.concatenate([[0], np.cumsum(offsets[some + 1] - offsets[some])])
             rows = at[:, index]
-            x = model.embedded(rows)
-            top, y = model.pooled(x, ends)
-            act = np.maximum(top, 0)
-            p = 1 / (1 + np.exp(-np.clip(act @ model.out + bias[0], -30, 30)))
-            d = ((p - toxic[some]) * weight[some] / len(some)).astype(np.float32)
-            d_top = d[:, None] * model.out[None] * (top > 0)
-            owner = np.repeat(np.arange(len(some)), np.diff(ends))
-            hit = y == top[owner]
-            place = np.zeros(top.shape, np.int64)
-            for f in range(y.shape[1]):
-                spots = np.flatnonzero(hit[:, f])[::-1]
-                place[owner[spots], f] = spots  # the first of equals stays
-            d_x: list[tuple[np.ndarray, np.ndarray]] = []
+            _, found, where, grad = gradients(model, rows, ends, toxic[some], weight[some])
             for wi, w in enumerate(WIDTHS):
-                cols = slice(wi * FILTERS, (wi + 1) * FILTERS)
-                spot, g = place[:, cols], d_top[:, cols]
                 for j in range(w):
-                    inputs = x[(spot + j).ravel()].reshape(*spot.shape, hidden)
-                    part = model.filters[wi][j]
-                    d_x.append(((spot + j).ravel(), (g[:, :, None] * part.T[None]).reshape(-1, hidden)))
-                    step(("f", wi, j), part, np.einsum("nf,nfh->hf", g, inputs))
-                step(("b", wi), model.bias[wi], g.sum(0))
-            step("out", model.out, act.T @ d)
-            step("bias", bias, np.array([d.sum()], np.float32))
-            where, grad = np.concatenate([a for a, _ in d_x]), np.concatenate([b for _, b in d_x])
+                    step(("f", wi, j), model.filters[wi][j], found["f", wi, j])
+                step(("b", wi), model.bias[wi], found["b", wi])
+            step("out", model.out, found["out"])
+            step("bias", bias, np.array([found["bias"]], np.float32))
+            model.out_bias = float(bias[0])
             for side in range(SIDES):
                 bucket, inverse = np.unique(rows[side][where], return_inverse=True)
                 g = np.zeros((len(bucket), DIM), np.float32)
@@ -199,38 +225,41 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 5) -> Model:
                 g *= live[side][bucket][:, None]
                 squares[side][bucket] += g * g
                 model.tables[side][bucket] -= RATE * g / (np.sqrt(squares[side][bucket]) + 1e-6)
-    model.out_bias = float(bias[0])
     cuts = np.unique(np.searchsorted(offsets, np.arange(0, offsets[-1] + ROWS, ROWS)).clip(0, n))
     z = np.concatenate([model.logits(at[:, offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in zip(cuts, cuts[1:], strict=False)])
     del at
-    group = model.cluster(profile)
-    general = _threshold(z, toxic)
-    model.thresholds[:] = general
-    for c in range(len(model.thresholds)):
-        own = (group == c) & ~fit
-        if (toxic[own] == 1).sum() >= 10 and (toxic[own] != 1).sum() >= 10:
-            model.thresholds[c] = _threshold(z[own], toxic[own])
+    aside = ~fit if len(set(toxic[~fit].tolist())) == 2 else np.ones(n, bool)
+    model.thresholds = calibrated(z[aside], toxic[aside], model.cluster(profile)[aside], len(centres))
     return model
 
 
-def _threshold(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts of fewest errors."""
-    order = np.argsort(z)
-    z, bad = z[order].astype(np.float64), toxic[order] == 1
-    errors = np.concatenate([[0], np.cumsum(bad)]) + np.concatenate([np.cumsum(~bad[::-1])[::-1], [0]])
-    cut = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-    gap = np.concatenate([[0], z[1:] - z[:-1], [0]])
-    best = np.flatnonzero(errors == errors.min())
-    return float(cut[best[gap[best].argmax()]])
+def calibrated(z: np.ndarray, toxic: np.ndarray, cluster: np.ndarray, clusters: int) -> np.ndarray:
+    """Each cluster's threshold: the middle of the widest range of cuts with fewest errors, those of all texts counting as LEAN of its own."""
+    order = np.argsort(z, kind="stable")
+    z, bad, cluster = z[order].astype(np.float64), toxic[order] == 1, cluster[order]
+
+    def errors(own):  # at each cut: toxic texts below and others above
+        return np.concatenate([[0], np.cumsum(bad & own)]) + np.concatenate([np.cumsum((~bad & own)[::-1])[::-1], [0]])
+
+    every = errors(np.ones(len(z), bool)) * (LEAN / len(z))
+    edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
+    out = np.empty(clusters)
+    for c in range(clusters):
+        total = errors(cluster == c) + every
+        low = total <= total.min() + 1e-9
+        begins, ends = np.flatnonzero(low & ~np.concatenate([[False], low[:-1]])), np.flatnonzero(low & ~np.concatenate([low[1:], [False]]))
+        widest = (edges[ends + 1] - edges[begins]).argmax()
+        out[c] = (edges[begins[widest]] + edges[ends[widest] + 1]) / 2
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, held: int | None = 0, modulus: int = 5, most: int = LABELLED) -> Model:
-    """A model of at most ``most`` labelled rows of either class, none with crc32(doc_id) mod ``modulus`` equal to ``held``."""
+    """A model of at most ``most`` labelled rows of either class, none with crc32(doc_id) mod ``modulus`` equal to ``held``; of repeated ids the least text."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held is not None:
         known = known.where(~kept_out(held, modulus))
     some = first_hashed(known.where("toxic = 1"), most).unionByName(first_hashed(known.where("toxic != 1"), most))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     got = rows.toArrow().sort_by("doc_id")
     texts = got.column("text").combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
@@ -253,8 +282,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if the score is 0.5 or more), one row for each row of ``docs``.
 
     Only rows that are not held out (crc32 of the id mod 5 is 0) are learned from; scores come from
-    the text alone.  Null and empty texts get the score of no words.  Null ids are not held out;
-    repeated rows keep their rows; without labels of both classes every score leans to the one known.
+    the whole text alone, however long.  Null and empty texts get the score of no words.  Null ids are not
+    held out; repeated rows keep their rows and tie; without labels of both classes every score leans to the
+    one known.  Other columns are not read, so their names may clash; an empty table gives an empty result.
     """
     out = scored(docs, learn(docs, labels), "doc_id")
     return out.select("doc_id", kept_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -80,6 +80,54 @@ def test_toxicity_held_out(frame, spark, rng, odd):
     assert len(none) == len(odd) and all(r.predicted == 0 for r in none)
 
 
+def test_toxicity_gradients():
+    rng = np.random.default_rng(4)
+    t = toxicity
+    texts = pa.array(["one two three four five", "two two six", "seven", "", "one six seven eight nine ten"])
+    rows, ends, _ = t.encode(texts)
+    hidden = t.SIDES * t.DIM
+    model = t.Model([rng.normal(0, 0.5, (t.BUCKETS, t.DIM)) for _ in range(t.SIDES)], [[rng.normal(0, 0.5, (hidden, t.FILTERS)) for _ in range(w)] for w in t.WIDTHS], [rng.normal(0, 0.1, t.FILTERS) for _ in t.WIDTHS], rng.normal(0, 0.5, t.FILTERS * len(t.WIDTHS)), 0.2, np.zeros((1, t.SHORT + t.LEADS)), np.zeros(1))
+    toxic, weight = np.array([1, 0, 1, 0, 1]), np.array([1.0, 2.0, 0.5, 1.0, 1.5])
+    loss = lambda: t.gradients(model, rows, ends, toxic, weight)[0]
+    _, found, where, grad = t.gradients(model, rows, ends, toxic, weight)
+
+    def slope(array, at, e=1e-6):
+        old = array[at]
+        array[at] = old + e
+        up = loss()
+        array[at] = old - e
+        down = loss()
+        array[at] = old
+        return (up - down) / (2 * e)
+
+    for wi, w in enumerate(t.WIDTHS):
+        for j in range(w):
+            for at in [(0, 0), (7, 3), (19, 5)]:
+                assert abs(slope(model.filters[wi][j], at) - found["f", wi, j][at]) < 1e-6
+        assert abs(slope(model.bias[wi], 2) - found["b", wi][2]) < 1e-6
+    assert all(abs(slope(model.out, k) - found["out"][k]) < 1e-6 for k in range(len(model.out)))
+    for side in (0, 3):
+        for bucket in np.unique(rows[side])[1:5]:
+            want = grad[rows[side][where] == bucket][:, side * t.DIM : (side + 1) * t.DIM].sum(0)
+            assert all(abs(slope(model.tables[side], (bucket, k)) - want[k]) < 1e-6 for k in range(t.DIM))
+
+
+def test_toxicity_thresholds_by_language():
+    rng = np.random.default_rng(6)
+    cluster = rng.integers(0, 3, 900)
+    toxic = rng.integers(0, 2, 900)
+    z = toxic * 2.0 - 1 + np.array([0.0, 5.0, -5.0])[cluster] + rng.uniform(-0.3, 0.3, 900)
+    cuts = toxicity.calibrated(z, toxic, cluster, 4)
+    assert np.allclose(cuts[:3], [0, 5, -5], atol=0.5)
+    few = toxicity.calibrated(np.array([0.0, 1, 2, 3]), np.array([0, 0, 1, 1]), np.zeros(4, int), 2)
+    assert few.tolist() == [1.5, 1.5]
+    words = {"en": "the of and to in is it on as at", "ru": "и в не на что он я с", "el": "και το να του η της", "zh": "的一是不了"}
+    texts = [" ".join(rng.choice(w.split(), 40)) + " " + str(i) for i, w in enumerate(words.values()) for _ in range(1)] * 5
+    profile = toxicity.encode(pa.array(texts))[2]
+    near = toxicity._nearest(profile, toxicity._clusters(profile, 4))
+    assert len(set(near.tolist())) == 4 and (near.reshape(5, 4) == near[:4]).all()
+
+
 def test_hidden_markov_scores(frame, rng, odd):
     rows = documents(rng, 300) + odd
     got = hmm.hmm_scores(frame(rows), top=100, states=3, rounds=1).collect()
