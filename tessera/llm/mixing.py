@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import n_inner, split_words
-from .textkit import stored
+from .textkit import fresh, stored
 
 #: Key buckets: 16 ** BUCKET_DIGITS.  Sources whose cuts are broadcast at most; more are joined by a shuffle.
 BUCKET_DIGITS, BROADCAST_SOURCES = 3, 10_000
@@ -43,6 +43,7 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame
 
 def mix_cuts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
     """One row a source: source, source_size, target, epochs (whole passes), cut_key and cut_size (last row of the part pass)."""
+    docs = docs.select("doc_id", "source", "text")
     sized = docs.select("source", _key(seed).alias("key"), n_inner(split_words(F.col("text"))).cast("bigint").alias("size"))
     sums = stored(sized.groupBy("source", F.substring("key", 1, BUCKET_DIGITS).alias("bucket")).agg(F.sum("size").alias("size")))
     targets = _targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -82,9 +83,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     cuts = mix_cuts(docs, weights, most, seed)
     near = F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    base = docs.select(*own, n_inner(split_words(F.col("text"))).cast("bigint").alias("size"), _key(seed).alias("__key"))
-    part = F.expr("__key < cut_key OR (__key = cut_key AND size <= cut_size)").cast("int")
-    return base.join(near, F.expr("source <=> cut_source")).select(*own, "size", "source_size", "target", (F.col("epochs") + part).alias("copies"))
+    key, of, total, goal, epochs, cut, last = fresh(own, "mix_key", "mix_of", "mix_total", "mix_target", "mix_epochs", "mix_cut", "mix_last")
+    near = near.toDF(of, total, goal, epochs, cut, last)
+    base = docs.select(*own, n_inner(split_words(F.col("text"))).cast("bigint").alias("size"), _key(seed).alias(key))
+    part = (F.col(key) < F.col(cut)) | ((F.col(key) == F.col(cut)) & (F.col("size") <= F.col(last)))
+    copies = F.least(F.lit(most), F.col(epochs) + part.cast("int"))
+    return base.join(near, F.col("source").eqNullSafe(F.col(of))).select(*own, "size", F.col(total).alias("source_size"), F.col(goal).alias("target"), copies.alias("copies"))
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .textkit import LOWER, byte_lists, map_texts, mix, raw, rolling, stored, word_hashes, words_of
+from .textkit import LOWER, byte_lists, fresh, map_texts, mix, raw, rolling, stored, word_hashes, words_of
 
 #: Fingerprints that a shard owns on average, and most that the driver reads to place the trees.
 SHARD, SAMPLE = 6_000, 65_536
@@ -483,5 +483,5 @@ def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8
     """
     groups = stored(near_duplicate_groups(docs, shingle_words, similarity))
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select("first.key")
-    named = "__key"
+    (named,) = fresh(docs.columns, "row_key")
     return docs.withColumn(named, F.xxhash64("doc_id", "text")).join(first.withColumnRenamed("key", named), named, "left_semi").drop(named)

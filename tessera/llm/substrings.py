@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import map_texts, pieces, raw, rolling, stored, word_hashes, words_of
+from .textkit import fresh, map_texts, pieces, raw, rolling, stored, word_hashes, words_of
 
 WINDOW, GRAM = 20, 6
 #: Suffixes that may share a prefix before it is lengthened.
@@ -239,18 +239,19 @@ def _covered(places: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _with_repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``docs`` and __k, __places."""
-    keyed = docs.withColumn("__k", _key())
-    ids = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("__k").alias("k"))
-    return keyed.join(repeats(ids, window, gram).withColumnsRenamed({"k": "__k", "places": "__places"}), "__k", "left")
+def _with_repeats(docs: DataFrame, window: int, gram: int) -> tuple[DataFrame, str]:
+    """``docs`` and the places of its repeated windows, in a column whose name is returned too."""
+    key, places = fresh(docs.columns, "row_key", "row_places")
+    keyed = docs.withColumn(key, _key())
+    ids = keyed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col(key).alias("k"))
+    return keyed.join(repeats(ids, window, gram).withColumnsRenamed({"k": key, "places": places}), key, "left").select(*docs.columns, places), places
 
 
-def _rows(piece, window):
+def _rows(piece, window, places):
     """For each row: its text's bytes, its words, and which of them go."""
     data, ends = raw(piece.column("text"))
     starts, stops, at = words_of(data, ends)
-    marks = piece.column("__places")
+    marks = piece.column(places)
     flat, offsets = marks.values.to_numpy() if len(marks.values) else np.empty(0, np.int32), marks.offsets.to_numpy()
     lengths = np.where(marks.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
     for r in range(piece.num_rows):
@@ -269,9 +270,11 @@ def substring_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     Null, empty and short texts lose nothing.  Other columns are not read.
     """
 
+    rows, places = _with_repeats(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), window, gram)
+
     def kernel(piece):
         n, removed, sha = [], [], []
-        for text, starts, _, gone in _rows(piece, window):
+        for text, starts, _, gone in _rows(piece, window, places):
             words = text.split()
             n.append(len(words))
             removed.append(0 if gone is None else int(gone.sum()))
@@ -280,19 +283,21 @@ def substring_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
         return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return map_texts(_with_repeats(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), window, gram), kernel, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return map_texts(rows, kernel, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` without the words that :func:`substring_report` removes; what stands between kept words stays, n_chars is renewed.
 
-    Rows that lose their every word go; texts without words stay as they are.
+    Rows that lose their every word go; texts without words, null ones included, stay as they are.  Texts of any
+    length are whole; all other columns stay, whatever their names; an empty table stays empty.
     """
     schema = docs.schema
+    rows, places = _with_repeats(docs, window, gram)
 
     def kernel(piece):
         texts, keep = piece.column("text").to_pylist(), np.ones(piece.num_rows, bool)
-        for r, (text, starts, stops, gone) in enumerate(_rows(piece, window)):
+        for r, (text, starts, stops, gone) in enumerate(_rows(piece, window, places)):
             if gone is None or not gone.any():
                 continue
             if gone.all():
@@ -308,7 +313,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         cols = [pa.array(texts, pa.string()) if c == "text" else piece.column(c) for c in schema.names]
         return pa.RecordBatch.from_arrays(cols, schema.names).filter(pa.array(keep))
 
-    out = map_texts(_with_repeats(docs, window, gram).select(*docs.columns, "__places"), kernel, schema)
+    out = map_texts(rows, kernel, schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

@@ -12,7 +12,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset and one process does all (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"spark.checkpoint.dir is unset: {master} needs a folder that all executors share")
     if "dir" not in _DEFAULT_DIR:
         _DEFAULT_DIR["dir"] = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, _DEFAULT_DIR["dir"], True)
@@ -53,6 +56,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores as it takes to be none of ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def kept_out(held: int, modulus: int, doc_id: str = "doc_id"):
     """crc32 of the id as text, mod ``modulus``, equals ``held``; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == held, F.lit(False))

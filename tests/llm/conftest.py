@@ -3,7 +3,10 @@ import random
 import pytest
 
 #: Columns that a table may have beside those that operators read; their names clash with inner ones.
-EXTRA = ("k", "places", "score", "size", "target", "fp", "key", "node", "held", "rid", "w")
+EXTRA = tuple(
+    "k places score size target fp key node held rid w s epochs start rest bucket cut_source cut_key cut_size mix_key mix_of row_key row_places __key __k __places "
+    "source_size u v root shard mine gram label base toxic tid i j diag merged span sym rest_known c".split()
+)
 
 
 def prose(rng, n, vocab):

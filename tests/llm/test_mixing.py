@@ -41,6 +41,14 @@ def test_targets_and_budgets(frame, rng, odd):
     assert by_id
 
 
+def test_no_row_is_taken_too_often(frame):
+    rows = [(i, "w w" if i % 3 else "", None, "z" if i < 30 else "a", 0) for i in range(33)] + [(100, "w " * 4000, None, "b", 0)]
+    df = frame(rows)
+    got = mixed(df).collect()
+    assert len(got) == len(rows) and max(r.copies for r in got) == 3
+    assert set(df.columns) - {"size", "source_size", "target"} <= set(mixed(df).columns)
+
+
 def test_empty_and_wordless(frame):
     assert mix_report(frame([])).collect() == []
     got = mix_report(frame([(1, None, None, "a", None), (2, "", None, None, None)])).collect()
