@@ -1,8 +1,8 @@
 """Visible text of web pages, laid out: a tree builder with implied tags, visibility rules and a line renderer.
 
 The builder keeps a stack of open elements, closes those whose end tag may be left out and adds the
-rows and cells that tables imply.  Hidden subtrees are never entered.  A table is laid out when it
-closes, so nested ones need no recursion; everything else is laid out in one walk over the tree.
+rows and cells that tables imply.  Subtrees that are not displayed are never entered; text that is only
+invisible is left out, and a visible part of an invisible one is shown.  A table is laid out when it closes, so nested ones need no recursion; everything else is laid out in one walk over the tree.
 """
 
 from __future__ import annotations
@@ -44,8 +44,9 @@ FENCE = frozenset(("table", "td", "th", "html", "body", "caption"))
 #: Parts of a table, inside which only some elements may stand; others go before the table.
 PARTS = ROWS | {"table", "tr", "colgroup"}
 IN_TABLE = CELLS | ROWS | {"tr", "caption", "colgroup", "col"}
-#: Columns are padded to this width at most.
-WIDEST = 40
+#: Columns are padded to this width at most (a longer cell moves only its own line); lists and quotations are indented deeper for this many
+#: levels (their markers and text stay beyond); columns that a cell spans at most, as the HTML standard has it.
+WIDEST, DEEPEST, SPAN = 240, 32, 1000
 
 _NAME = r"[a-zA-Z][^\s/>\x00]*"
 _OTHER = r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?"
@@ -54,7 +55,7 @@ _PLAIN = re.compile(_OTHER + rf"|<(/?)({_NAME})([^<>]*)>", re.S)
 _OPENS = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _MATTERS = re.compile(r"hidden|style|open|colspan|rowspan|start|value|reversed", re.I)
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARATION = re.compile(r"""\s*([-\w]+)\s*:((?:[^;"'(]++|"[^"]*+"?|'[^']*+'?|\([^)]*+\)?)*+)|[^;]*+;?""")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -83,6 +84,15 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
+def _style(source: str) -> tuple[str, str]:
+    """The values of display and visibility, empty where a style does not set them; the last of each counts."""
+    out = {"display": "", "visibility": ""}
+    for m in _DECLARATION.finditer(source):
+        if m[1] and m[1].lower() in out:
+            out[m[1].lower()] = m[2].split("!")[0].strip().lower()
+    return out["display"], out["visibility"]
+
+
 def _tokens(source: str):
     """(end, name, attributes) for tags, a string for text; once a quote stays open, quotes no longer count."""
     at, pattern, size = 0, _QUOTED, len(source)
@@ -115,11 +125,13 @@ def build(source: str) -> tuple[Node, str]:
     root = Node("#root")
     stack, names, title, unseen = [root], ["#root"], None, 0  # unseen: depth of the outermost hidden element
     open_: Counter[str] = Counter()
+    visible = [True]
 
     def close(depth: int) -> None:
         nonlocal unseen
         while len(stack) > depth:
             node = stack.pop()
+            visible.pop()
             open_[names[-1]] -= 1
             if names.pop() == "table" and not unseen:
                 node.children = [Lines(table_lines(node))]
@@ -150,10 +162,12 @@ def build(source: str) -> tuple[Node, str]:
         node = Node(tag, attributes)
         a = node.attributes
         shut = names[-1] == "details" and "open" not in stack[-1].attributes and tag != "summary"
-        hides = tag in UNSEEN or "hidden" in a or shut or (tag == "dialog" and "open" not in a) or _NOT_SHOWN.search(a.get("style", ""))
+        display, visibility = _style(a["style"]) if "style" in a else ("", "")
+        hides = tag in UNSEEN or "hidden" in a or shut or (tag == "dialog" and "open" not in a) or display == "none"
         if not unseen and not hides:
             place(node)
         stack.append(node)
+        visible.append(visibility == "visible" or (visible[-1] and visibility not in ("hidden", "collapse")))
         names.append(tag)
         open_[tag] += 1
         if not unseen and hides:
@@ -176,7 +190,7 @@ def build(source: str) -> tuple[Node, str]:
                 title = " ".join(unescape(token).split())
             if unseen and names[-1] == "head" and token.strip():
                 close(find(("head",)))
-            if unseen or (names[-1] == "details" and "open" not in stack[-1].attributes):
+            if unseen or not visible[-1] or (names[-1] == "details" and "open" not in stack[-1].attributes):
                 continue
             text = token if names[-1] in ("xmp",) or "&" not in token else unescape(token)
             if names[-1] not in PARTS or text.strip():
@@ -320,13 +334,10 @@ def layout(root: Node) -> list[str]:
                 if counters and counters[-1] is not None:
                     counters[-1] = _number(node.attributes.get("value"), counters[-1] + 1, 10**9)
                     sign = f"{counters[-1]}. "
-                if len(indents) < 32:
-                    marker[0] = sign
-                    indents.append(indents[-1] + " " * len(sign))
-                else:
-                    indents.append(indents[-1])
+                marker[0] = sign
+                indents.append(indents[-1] + " " * len(sign) if len(indents) <= DEEPEST else indents[-1])
             elif tag in ("blockquote", "dd"):
-                indents.append(indents[-1] + ("  " if len(indents) < 32 else ""))
+                indents.append(indents[-1] + ("  " if len(indents) <= DEEPEST else ""))
         else:
             if tag in PRE:
                 pre -= 1
@@ -364,7 +375,7 @@ def table_lines(table: Node) -> list[str]:
             if isinstance(cell, Node) and cell.tag in CELLS:
                 while taken.get(col):
                     col += 1
-                span = max(1, _number(cell.attributes.get("colspan"), 1, 100))
+                span = max(1, _number(cell.attributes.get("colspan"), 1, SPAN))
                 down = max(1, _number(cell.attributes.get("rowspan"), 1, len(rows)))
                 cells.append((col, span, layout(cell)))
                 for c in range(col, col + span):
@@ -380,17 +391,20 @@ def table_lines(table: Node) -> list[str]:
             width.setdefault(col, 0)
             if span == 1:
                 width[col] = max(width[col], min(WIDEST, max(map(len, text), default=0)))
+    starts, at = {}, 0
+    for col in sorted(width):
+        starts[col] = at
+        at += width[col] + 2
     out = []
     for cells in placed:
         for k in range(max((len(text) for _, _, text in cells), default=0)):
-            line, at = "", 0
+            line = ""
             for col, _, text in cells:
-                start = sum(w + 2 for c, w in width.items() if c < col)
+                start = starts[col]
                 piece = text[k] if k < len(text) else ""
                 if piece:
-                    line = line.ljust(min(start, at + (WIDEST + 2) * (col + 1)))
-                    line += ("  " if line and not line.endswith("  ") else "") + piece
-                at = len(line)
+                    line = line.ljust(start)
+                    line = (line if not line or line.endswith("  ") else line.rstrip() + "  ") + piece
             out.append(line.rstrip())
     return head + out
 
@@ -407,7 +421,8 @@ def extract_pages(pages: DataFrame, *keep: str) -> DataFrame:
     """``keep``, title and text (all that is visible, laid out), one row for each row of ``pages``.
 
     Null and empty pages have an empty title and text; repeated rows and null ids keep their rows.
-    Whole pages are read; other columns are not.
+    Whole pages are read, however long; other columns are not, so their names may clash.  An empty table gives
+    an empty result.
     """
     types = dict(pages.dtypes)
 

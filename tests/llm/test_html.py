@@ -24,6 +24,14 @@ CASES = [
     ("<dl><dt>t<dd>d</dl>", "t\n  d"),
     ("<h1>H</h1>text", "H\n\ntext"),
     ("<table><tr><td colspan=2>ab<tr><td>1<td>2</table>", "ab\n1  2"),
+    ("<div style='backface-visibility: hidden'>a</div><p style='content: \"display:none\"'>b</p>", "a\n\nb"),
+    ("<div style='color:red;DISPLAY : None !important'>no</div>a", "a"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no<i>no</i></div>a", "yes\na"),
+    ("<p style='display:none;display:block'>a", "a"),
+    ("<p style='background:url(a;display:none)'>a", "a"),
+    ("<table><tr><td>" + "x" * 60 + "<td>b<tr><td>c<td>d</table>", "x" * 60 + "  b\nc" + " " * 61 + "d"),
+    ("<ul><li>" * 40 + "deep" + "<li>next", "\n".join([" " * 62 + "- deep", " " * 62 + "- next"])),
+    ("<table><tr><td colspan=300>a<td>b</table>", "a  b"),
     ("", ""),
     (None, ""),
 ]
