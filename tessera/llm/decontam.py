@@ -1,10 +1,12 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-An item is a set of word shingles.  If a text holds a share t of an item's n shingles, it misses at most
-(1 - t) n of them, so it holds at least one of the item's floor((1 - t) n) + 1 shingles of least hash.
-That MinHash sketch, whose length follows the item's size partition, therefore finds every text that
-reaches t, however long the text is; the shingles of candidates are then counted exactly.  Items come
-in blocks of a fixed number of bytes, each searched in all texts.
+An item is a set of n word shingles.  A text that holds a share t of them misses at most (1 - t) n, so it
+holds at least one of any floor((1 - t) n) + 1 of them: the item's sketch.  The sketch takes the shingles of
+least hash, those first that few items share, so that a prompt which all items begin with is in no sketch that
+can do without it.  Items are partitioned by size (powers of two); a text is searched only for partitions whose
+least item it can hold a share t of, and every text that reaches t is found, however long it is; the
+shingles of candidates are then counted exactly.  Texts are not sketched themselves: a sketch of a long text
+says little about a short item in it.  Items come in blocks of a fixed number of bytes, each searched in all texts.
 """
 
 from __future__ import annotations
@@ -48,12 +50,48 @@ def shingles(col: pa.Array, k: int, also: tuple[int, ...] = ()) -> tuple[np.ndar
     return hashes, offsets, out | {0: (words, at)}
 
 
+@dataclass
+class Sized:
+    """Sketches of items of one shingle length whose sizes lie between two powers of two."""
+
+    smallest: int  # shingles that its items have at least
+    keys: np.ndarray  # sketch hashes, sorted
+    owner: np.ndarray  # and their items
+
+
+@dataclass
+class Index:
+    """Items of one shingle length."""
+
+    keys: np.ndarray  # all sketch hashes, sorted and distinct
+    parts: list[Sized]
+    hashes: np.ndarray  # all shingles, sorted, and their items
+    owner: np.ndarray
+    total: np.ndarray  # shingles of each item
+
+
+def _sketched(place: np.ndarray, hashes: np.ndarray, items: int, least: float) -> Index:
+    """``place``, ``hashes``: the distinct shingles of some items, sorted by hash."""
+    total = np.bincount(place, minlength=items)
+    head = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    shared = np.diff(np.append(np.flatnonzero(head), len(hashes)))[np.cumsum(head) - 1]
+    order = np.lexsort((hashes, np.log2(shared).astype(np.int64), place))
+    first = np.cumsum(total) - total
+    rank = np.arange(len(order)) - first[place[order]]
+    chosen = np.zeros(len(hashes), bool)
+    chosen[order] = rank <= np.floor((1 - least) * total[place[order]] + 1e-9)
+    keys, owner = hashes[chosen], place[chosen]
+    part = np.log2(total[owner]).astype(np.int64)
+    parts = [Sized(1 << int(p), keys[part == p], owner[part == p]) for p in np.unique(part)]
+    return Index(np.unique(keys), parts, hashes, place, total)
+
+
 @dataclass
 class Block:
-    """Items of one block, grouped by shingle length (k words, or fewer for shorter items)."""
+    """Items of one block, by shingle length (k words, or fewer for shorter items)."""
 
-    ids: np.ndarray  # of the items, by place
-    lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    items: int
+    lengths: dict[int, Index]
 
     @classmethod
     def of(cls, items: pa.Table, k: int, least: float) -> Block:
@@ -61,45 +99,44 @@ class Block:
         texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks)
         _, _, other = shingles(texts, k)
         words, at = other[0]
-        sets: dict[int, list] = {}
-        for place in range(items.num_rows):
-            own = words[at[place] : at[place + 1]]
-            if len(own):
-                size = min(k, len(own))
-                sets.setdefault(size, []).append((place, np.unique(rolling(own, size))))
+        n = np.diff(at)
         lengths = {}
-        for size, group in sets.items():
-            sketch = [(h, place) for place, s in group for h in s[: int((1 - least) * len(s) + 1e-9) + 1]]
-            sketch.sort()
-            every = sorted((h, place) for place, s in group for h in s)
-            lengths[size] = (
-                np.array([h for h, _ in sketch], np.uint64),
-                np.array([p for _, p in sketch], np.int64),
-                np.array([h for h, _ in every], np.uint64),
-                np.array([p for _, p in every], np.int64),
-                np.bincount([p for p, s in group], [len(s) for _, s in group], items.num_rows),
-            )
-        return cls(np.arange(items.num_rows), lengths)
+        for size in range(1, k + 1):
+            own = np.flatnonzero(n >= k if size == k else n == size)
+            if not len(own):
+                continue
+            full = n[own] - size + 1
+            place = np.repeat(own, full)
+            spot = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full) + at[place]
+            hashes = rolling(words, size)[spot]
+            order = np.lexsort((place, hashes))
+            place, hashes = place[order], hashes[order]
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (place[1:] != place[:-1])])
+            lengths[size] = _sketched(place[new], hashes[new], len(n), least)
+        return cls(len(n), lengths)
 
     def search(self, col: pa.Array, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item place, containment) of all pairs that reach ``least``."""
-        short = tuple(s for s in self.lengths if s != k)
-        hashes, offsets, other = shingles(col, k, short)
+        hashes, offsets, other = shingles(col, k, tuple(s for s in self.lengths if s != k))
         rows, places, shares = [], [], []
-        for size, (keys, owner, full, full_owner, total) in self.lengths.items():
+        for size, index in self.lengths.items():
             h, at = (hashes, offsets) if size == k else other[size]
-            spot = _hits(h, keys)
+            spot = _hits(h, index.keys)
             if not len(spot):
                 continue
-            row = np.searchsorted(at, spot, "right") - 1
-            pair = np.unique(np.concatenate([row[i] * len(self.ids) + owner[j] for i, j in _matches(h[spot], keys)]))
-            for r in np.unique(pair // len(self.ids)):  # rows with a candidate: count their shingles
+            row, met = np.searchsorted(at, spot, "right") - 1, h[spot]
+            room, pairs = np.diff(at)[row], []
+            for part in index.parts:
+                some = np.flatnonzero(room >= least * part.smallest - 1e-9)
+                pairs += [row[some[i]] * self.items + part.owner[j] for i, j in _matches(met[some], part.keys)]
+            pair = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+            for r in np.unique(pair // self.items):  # rows with a candidate: count their shingles
                 own = np.unique(h[at[r] : at[r + 1]])
-                a, b = np.searchsorted(full, own), np.searchsorted(full, own, "right")
-                held = np.concatenate([full_owner[x:y] for x, y in zip(a[b > a], b[b > a], strict=True)])
-                count = np.bincount(held, minlength=len(self.ids))
-                some = pair[pair // len(self.ids) == r] % len(self.ids)
-                share = count[some] / total[some]
+                a, b = np.searchsorted(index.hashes, own), np.searchsorted(index.hashes, own, "right")
+                held = np.concatenate([index.owner[x:y] for x, y in zip(a[b > a], b[b > a], strict=True)])
+                count = np.bincount(held, minlength=self.items)
+                some = pair[pair // self.items == r] % self.items
+                share = count[some] / index.total[some]
                 good = share >= least - 1e-12
                 rows.append(np.full(good.sum(), r))
                 places.append(some[good])
@@ -127,7 +164,8 @@ def _matches(h: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
     i = np.arange(len(h))
     while len(i):
         i = i[a[i] < b[i]]
-        yield i, a[i]
+        if len(i):
+            yield i, a[i]
         a = a + 1
 
 
@@ -154,7 +192,7 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("do
     Words are runs of ASCII letters, digits and other characters beyond ASCII, A-Z lower-cased; an item
     of fewer than ``shingle_words`` words is one shingle of all its words.  Null or wordless items match
     nothing, null and empty texts hold nothing.  Repeated rows of either table, null ids included, give
-    a row each.  Other columns are not read.
+    a row each.  Whole texts are searched, however long; other columns are not read, so their names may clash.
     """
     types = dict(docs.dtypes) | {"item_id": dict(items.dtypes)["item_id"]}
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*keep, "item_id")) + ", containment double"
@@ -176,7 +214,10 @@ def contaminated(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("do
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that hold no item; all columns kept, nothing shuffled."""
+    """The rows of ``docs`` that hold no item (see :func:`contaminated`); all columns kept whatever their names, nothing shuffled.
+
+    Null and empty texts hold nothing and stay, repeated rows stay or go together, empty tables on either side change nothing.
+    """
     out = docs
     for table in _blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(Block.of(table, shingle_words, least))

@@ -1,10 +1,12 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import substrings
-from tessera.llm.decontam import contaminated, without_contaminated
+from tessera.llm.decontam import Block, contaminated, without_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -49,6 +51,22 @@ def test_containment_against_brute_force(frame, spark, rng, odd):
     assert contaminated(frame([]), bench).collect() == [] and contaminated(frame(rows), bench.limit(0)).collect() == []
 
 
+def test_a_prompt_that_all_items_share(frame, spark, rng):
+    prompt = " ".join(f"p{i}" for i in range(12))
+    items = [(i, prompt + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 60)))) for i in range(300)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(i, f"{prompt} {prompt} x{i}", None, None, 0) for i in range(50)] + [(100 + i, f"a b {items[i][1]} c", None, None, 0) for i in range(0, 300, 7)]
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame(rows), bench).collect()}
+    want = {(d, i) for d, t, *_ in rows for i, x in items if len(shingles(x, 5) & shingles(t, 5)) >= 0.8 * len(shingles(x, 5)) - 1e-9}
+    assert got == want and len(want) > 43
+    texts = pa.table({"text": [x for _, x in items]})
+    index = Block.of(texts, 5, 0.8).lengths[5]
+    assert len(index.parts) > 2 and max(np.unique(index.keys, return_counts=True)[1]) == 1
+    long = [i for i, (_, x) in enumerate(items) if len(x.split()) > 40]
+    common = set(np.intersect1d(*[index.hashes[index.owner == i] for i in long[:2]]).tolist())
+    assert all(not common & set(part.keys[np.isin(part.owner, long)].tolist()) for part in index.parts)
+
+
 def remove(rows, window=20):
     """Words that go, by brute force; rows alike in id and text are one."""
     seen, out = {}, {}
