@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .graph import components
 from .textkit import LOWER, byte_lists, fresh, map_texts, mix, raw, rolling, stored, word_hashes, words_of
 
-#: Fingerprints that a shard owns on average, and most that the driver reads to place the trees.
-SHARD, SAMPLE = 6_000, 65_536
+#: Fingerprints that a shard owns on average, and most that the driver reads to place the trees (8 MB); 24 of them place a leaf, so
+#: shards begin to grow beyond 43,690 of them, which is 262 million different fingerprints; a shard of ten times as many takes 0.5 MB and its copies.
+SHARD, SAMPLE = 6_000, 1 << 20
 #: Comparisons that are made outright.
 OUTRIGHT = 1 << 20
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -179,7 +180,7 @@ def shards(distinct: DataFrame, radius: int, block: int, extra: tuple[str, ...]
     n = distinct.count() if n is None else n
     mask, r = blocks_of(radius)[block]
     tries = ((mask, r), (_ALL, radius))
-    leaves = min(4096, max(1, n // SHARD))
+    leaves = min(SAMPLE // 24, max(1, n // SHARD))
     want = min(SAMPLE, 24 * leaves)
     part = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // want))) == 0).select("fp") if leaves > 1 else distinct.select("fp").limit(0)
     sample = np.array([x[0] for x in part.limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
@@ -228,7 +229,8 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, seed: int = 42,
     Rows whose fingerprints differ in at most ``radius`` bits are linked; component_id is the smallest
     doc_id of the component.  Null and empty texts have fingerprint 0 and are linked like any other.
     Repeated rows each stay.  A null doc_id stays and counts for no component_id unless it is alone
-    (then component_id is null).  Other columns are not read.  An empty table gives an empty result.
+    (then component_id is null).  Texts are read whole, however long; other columns are not read, so their names
+    may clash.  An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, shingle_words, seed))
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
