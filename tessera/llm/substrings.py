@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import fresh, map_texts, pieces, raw, rolling, stored, word_hashes, words_of
+from .textkit import fresh, map_texts, pieces, raw, rolling, stored, whole_runs, word_hashes, words_of
 
 WINDOW, GRAM = 20, 6
 #: Suffixes that may share a prefix before it is lengthened.
@@ -90,9 +90,7 @@ def _repeated_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a[e].view(np.int64)), pa.array(k[e]), pa.array(spot[e]), pa.array(known[e]), pa.array(rest[e])], ["a", "k", "spot", "known", "rest"])
 
     def gather(batches):
-        rows = [b for b in batches if b.num_rows]
-        if rows:
-            t = pa.Table.from_batches(rows)
+        for t in whole_runs(batches, "a"):
             a, k, spot, known, rest = (t.column(c).to_numpy() for c in ("a", "k", "spot", "known", "rest"))
             real = np.flatnonzero(~rest)
             _, inverse, count = np.unique(a[real], return_inverse=True, return_counts=True)
@@ -102,7 +100,7 @@ def _repeated_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 some = np.flatnonzero(keep)[s : s + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(k[some]), pa.array(spot[some])], ["k", "spot"])
 
-    seen = docs.select("k", "text").mapInArrow(local, "a bigint, k bigint, spot int, known boolean, rest boolean").repartition("a")
+    seen = docs.select("k", "text").mapInArrow(local, "a bigint, k bigint, spot int, known boolean, rest boolean").repartition("a").sortWithinPartitions("a")
     return seen.mapInArrow(gather, "k bigint, spot int").groupBy("k").agg(F.collect_set("spot").alias("spots"))
 
 
@@ -189,26 +187,22 @@ def _judged(pending: DataFrame) -> DataFrame:
     """(k, places): windows of pending rows that are not the first of their kind anywhere."""
 
     def gather(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows).combine_chunks()
-        places, ws = t.column("places").combine_chunks(), t.column("ws").combine_chunks()
-        offsets = places.offsets.to_numpy()
-        owner = np.repeat(np.arange(t.num_rows), np.diff(offsets))
-        ids = t.column("doc_id")
-        null = ids.is_null().to_numpy()
-        ids, k = ids.fill_null(0).to_numpy(), t.column("k").to_numpy()
-        p = places.flatten().to_numpy()
-        gone = ~_firsts(ws.flatten().to_numpy(), ids[owner], null[owner], k[owner], p)
-        row = owner[gone]
-        if len(row):
-            head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            ends = np.concatenate([head, [len(row)]])
-            for s in range(0, len(head), 50_000):
-                e = min(len(head), s + 50_000)
-                at = pa.array((ends[s : e + 1] - ends[s]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(k[row[head[s:e]]]), pa.ListArray.from_arrays(at, pa.array(p[gone][ends[s] : ends[e]]))], ["k", "places"])
+        for t in whole_runs(batches, "key", 50_000):
+            t = t.combine_chunks()
+            places, ws = t.column("places").combine_chunks(), t.column("ws").combine_chunks()
+            size = np.diff(places.offsets.to_numpy())
+            owner = np.repeat(np.arange(t.num_rows), size)
+            ids = t.column("doc_id")
+            null = ids.is_null().to_numpy()
+            ids, k = ids.fill_null(0).to_numpy(), t.column("k").to_numpy()
+            p = places.flatten().to_numpy()
+            gone = ~_firsts(ws.flatten().to_numpy(), ids[owner], null[owner], k[owner], p)
+            row = owner[gone]
+            if len(row):
+                head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                ends = np.concatenate([head, [len(row)]])
+                at = pa.array(ends.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(k[row[head]]), pa.ListArray.from_arrays(at, pa.array(p[gone]))], ["k", "places"])
 
     return pending.mapInArrow(gather, "k bigint, places array<int>")
 
@@ -229,7 +223,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
         many = dealt.join(crowded, "key", "left_semi").select("doc_id", "k", F.explode(F.arrays_zip("places", "ws")).alias("x"))
         many = many.select(F.col("x.ws").alias("key"), "doc_id", "k", F.array("x.places").alias("places"), F.array("x.ws").alias("ws"))
         dealt = dealt.join(crowded, "key", "left_anti").unionByName(many)
-    judged = _judged(dealt.repartition("key"))
+    judged = _judged(dealt.repartition("key").sortWithinPartitions("key"))
     return found.where("gone").select("k", "places").unionByName(judged).groupBy("k").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 

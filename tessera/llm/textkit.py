@@ -92,6 +92,27 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         at = to
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], key: str, rows: int = 200_000) -> Iterator[pa.Table]:
+    """Batches sorted by ``key`` as tables of about ``rows`` rows, no key in two of them: a task holds that many rows and one key's."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        whole = pa.Table.from_batches(held)
+        keys = whole.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield whole.slice(0, last)
+            held = whole.slice(last).combine_chunks().to_batches()
+            n -= last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """``kernel`` over pieces of whole rows."""
 
