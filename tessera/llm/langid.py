@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .textkit import kept_out, pieces
 
-#: Labelled texts of each language that are learned from (about as many, those with the lowest hashes).
-LABELLED = 1_000
+#: Labelled texts of each language that are learned from (about as many, those with the lowest hashes, the first always), and bytes of them (about).
+LABELLED, LABELLED_BYTES = 1_000, 8 << 20
 #: Bits of a number: at least, and at most (four of them fill 64).
 ORDER, BITS, MOST_BITS = 4, 6, 16
 #: Bytes of text that are scored at once; share of a language's own texts that the rejection bound lets pass.
@@ -197,11 +197,13 @@ def learn(docs: DataFrame, held: int | None = 1, modulus: int = 3, most: int = L
     known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     if held is not None:
         known = known.where(~kept_out(held, modulus))
-    counts = known.groupBy("lang").count().collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min(place).alias("first")).collect()
     if not counts:
         return None
-    shares = docs.sparkSession.createDataFrame([(r["lang"], int(1e6 * min(1.0, most / r["count"]))) for r in counts], "lang string, share bigint")
-    some = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share"))
+    share = lambda r: int(1e6 * min(1.0, most / r["n"], LABELLED_BYTES / max(1, r["size"])))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], max(share(r), r["first"] + 1)) for r in counts], "lang string, share bigint")
+    some = known.join(F.broadcast(shares), "lang").where(place < F.col("share"))
     rows = some.select("text", "lang").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
     order = np.random.default_rng(3).permutation(rows.num_rows)
     texts, langs = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
@@ -238,7 +240,8 @@ def language_report(docs: DataFrame) -> DataFrame:
     Only rows with text and lang that are not held out (crc32 of the id mod 3 is 1) are learned from.
     lang_pred is ``und``, with score 0, for null texts and texts without a letter; otherwise a learned
     language.  rejected marks texts whose cross-entropy is beyond what that language's own texts reach.
-    Null ids are not held out, repeated rows keep their rows; without labels all is ``und``.
+    Null ids are not held out, repeated rows keep their rows and tie; without labels all is ``und``.  Texts are read
+    whole, however long; other columns are not read, so their names may clash; an empty table gives an empty result.
     """
     out = predicted(docs, learn(docs), "doc_id")
     return out.select("doc_id", kept_out(1, 3).alias("held_out"), "lang_pred", "score", "rejected")

@@ -57,6 +57,27 @@ def test_languages_of_many_letters(rng):
     assert np.allclose(np.exp(model.log_probabilities(code).astype(float)).sum(0), 1, atol=1e-3)
 
 
+def test_learning_texts_are_bounded_by_bytes(frame, monkeypatch):
+    monkeypatch.setattr(langid, "LABELLED_BYTES", 2_000)
+    rows = [(i, f"word{i} " * 50, "en", None, 0) for i in range(200)] + [(1000, "ein langer text " * 2000, "de", None, 0)]
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.append((texts, langs)))
+    langid.learn(frame(rows), held=None)
+    texts, langs = seen[0]
+    assert set(langs) == {"en", "de"} and 0 < langs.count("en") < 40 and langs.count("de") == 1
+
+
+def test_six_scripts(rng):
+    blocks = {"en": (0x61, 26), "ru": (0x430, 32), "el": (0x3B1, 24), "hy": (0x561, 38), "he": (0x5D0, 27), "ka": (0x10D0, 33)}
+    word = lambda lang: "".join(chr(blocks[lang][0] + rng.randrange(blocks[lang][1])) for _ in range(5))
+    make = lambda lang: " ".join(word(lang) for _ in range(30))
+    langs = [x for x in blocks for _ in range(40)]
+    model = langid.train([make(x) for x in langs], langs)
+    asked = [x for x in blocks for _ in range(30)]
+    entropy, _ = model.entropies([make(x) for x in asked])
+    assert [model.languages[k] for k in entropy.argmin(1)] == asked
+
+
 def test_all_languages_are_learned(frame):
     rows = [(6 * k + i, f"lang{k} word " * 3, f"l{k}", None, 0) for k in range(300) for i in range(6)]
     assert len(langid.learn(frame(rows), held=None).languages) == 300
