@@ -1,21 +1,23 @@
 """Distances between rows, nearest neighbours and their diagnostics.
 
-Vectors are arrays of double.  The smaller set (cases, queries) is dealt out in blocks of a fixed number
-of bytes; each block meets all rows of the other set once, in Arrow batches, so neither side is ever
-gathered whole and no pair is shuffled unless it is part of the result.
+Vectors are arrays of double.  A set of vectors (cases, queries) of up to BLOCK_BYTES is broadcast and meets
+all rows of the other set once, in Arrow batches.  Beyond that both sets are cut into tiles by the hash of
+their ids, and every pair of tiles meets in one task.  So nothing large passes through the driver, and no
+pair is shuffled unless it is part of the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of vectors in a block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of vectors that are broadcast at most, and about as many in a tile.
+BLOCK_BYTES, TILE_BYTES = 32 << 20, 4 << 20
 #: Distances that one numpy step makes.
 STEP = 1 << 21
 METRICS = ("euclidean", "manhattan", "chebyshev", "cosine", "jaccard", "hamming", "gower")
@@ -92,37 +94,63 @@ def gower_kernel(xb, xv, yb, yv, atol: float = 1e-8, rtol: float = 1e-5) -> np.n
     return out / max(1, xb.shape[1] + xv.shape[1])
 
 
-def _blocks(df: DataFrame, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) blocks of the set that is dealt out, in the order of ids."""
-    ids, rows, size = [], [], 0
-    for r in df.select(key, "v").orderBy(key).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        size += 8 * len(r[1]) + 64
-        if size > BLOCK_BYTES:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def _matrix(vectors) -> np.ndarray:
+    return np.stack(vectors).astype(float) if len(vectors) else np.zeros((0, 0))
 
 
-def _mapped(rows: DataFrame, others: DataFrame, key: str, work: Callable, schema: str) -> DataFrame:
-    """work(ids, matrix, block ids, block matrix) -> frame, over all rows for every block."""
-    out = None
-    for ids, block in _blocks(others, key):
-        sent = rows.sparkSession.sparkContext.broadcast((ids, block))
+def _bytes(df: DataFrame, key: str) -> tuple[int, int]:
+    """Rows, and bytes of their vectors and ids."""
+    return df.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("v") + 64), F.lit(0))).first()
 
-        def run(batches, sent=sent):
+
+def _whole(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of a set of at most BLOCK_BYTES, in the order of ids."""
+    got = df.select(key, "v").toArrow().sort_by(key).combine_chunks()
+    v = got.column("v").combine_chunks()
+    v = v if isinstance(v, pa.Array) else pa.concat_arrays(v.chunks)
+    return got.column(key).to_numpy(), v.flatten().to_numpy().astype(float).reshape(got.num_rows, -1)
+
+
+def _mapped(rows: DataFrame, others: DataFrame, key: str, work: Callable, schema: str, merge: Callable | None = None) -> DataFrame:
+    """work(ids, matrix, other ids, their matrix) -> frame, over parts of both sets so that each pair is in one of them; ``merge`` thins what a task has so far."""
+    n, size = _bytes(others, key)
+    if not n:
+        return rows.sparkSession.createDataFrame([], schema)
+    if size <= BLOCK_BYTES:
+        sent = rows.sparkSession.sparkContext.broadcast(_whole(others, key))
+
+        def run(batches):
             ids, block = sent.value
             step = max(1, STEP // max(1, len(ids)))
+            held = None
             for b in batches:
                 for s in range(0, len(b), step):
                     part = b.iloc[s : s + step]
-                    yield work(part[key].to_numpy(), np.stack(part["v"].to_numpy()).astype(float), ids, block)
+                    out = work(part[key].to_numpy(), _matrix(part["v"].to_numpy()), ids, block)
+                    if merge is None:
+                        yield out
+                    else:
+                        held = out if held is None else merge(pd.concat([held, out]))
+            if held is not None:
+                yield held
+
+        return rows.select(key, "v").mapInPandas(run, schema)
+
+    def tiles(df):
+        return max(1, -(-_bytes(df, key)[1] // TILE_BYTES))
+
+    def dealt(df, own, n_own, met, n_met):
+        tile = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int").alias(own)
+        return df.select(key, "v", tile, F.explode(F.sequence(F.lit(0), F.lit(n_met - 1))).alias(met))
 
-        part = rows.select(key, "v").mapInPandas(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return rows.sparkSession.createDataFrame([], schema) if out is None else out
+    def meet(a, b):
+        if not len(a) or not len(b):
+            return work(a[key].to_numpy()[:0], np.zeros((0, 1)), b[key].to_numpy()[:0], np.zeros((0, 1)))
+        return work(a[key].to_numpy(), _matrix(a["v"].to_numpy()), b[key].to_numpy(), _matrix(b["v"].to_numpy()))
+
+    n_rows, n_others = tiles(rows), tiles(others)
+    left, right = dealt(rows, "i", n_rows, "j", n_others), dealt(others, "j", n_others, "i", n_rows)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(lambda a, b: meet(a, b), schema)
 
 
 def pairwise(rows: DataFrame, others: DataFrame, metric: str = "euclidean", key: str = "vec_id") -> DataFrame:
@@ -136,46 +164,98 @@ def pairwise(rows: DataFrame, others: DataFrame, metric: str = "euclidean", key:
 
 
 def distance_rows(rows: DataFrame, others: DataFrame, metric: str = "euclidean", key: str = "vec_id") -> DataFrame:
-    """id, first (place of the block), dist (array): the table by row blocks, one array a row and block, compact to store."""
+    """id, others (ids) and dist (as many): the table by rows, one array a row and part of the others, compact to store."""
 
     def work(ids, m, block_ids, block):
-        return pd.DataFrame({"id": ids, "first": np.full(len(ids), block_ids[0]), "dist": list(kernel(m, block, metric))})
+        return pd.DataFrame({"id": ids, "others": [block_ids] * len(ids), "dist": list(kernel(m, block, metric))})
 
-    return _mapped(rows, others, key, work, "id bigint, first bigint, dist array<double>")
+    return _mapped(rows, others, key, work, "id bigint, others array<bigint>, dist array<double>")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", key: str = "vec_id", skip_self: bool = True) -> DataFrame:
-    """a_id (query), b_id, dist, rank: the k nearest rows of each query, ties by id.
+def summaries(rows: DataFrame, others: DataFrame, metric: str = "euclidean", key: str = "vec_id", skip_self: bool = False, under: float | None = None) -> DataFrame:
+    """a_id, n, total, least, largest and near (distances above 0 and below ``under``) over each row's distances to the others; no pair leaves its task."""
 
-    Every task keeps its best k a query over all its batches, so what is shuffled is k a query and task.
+    def work(ids, m, block_ids, block):
+        d = kernel(m, block, metric)
+        own = block_ids[None] == ids[:, None] if skip_self else np.zeros(d.shape, bool)
+        near = ((d > 0) & (d < under) & ~own).sum(1) if under is not None else np.zeros(len(ids), np.int64)
+        return pd.DataFrame({"a_id": ids, "n": (~own).sum(1), "total": np.where(own, 0, d).sum(1), "least": np.where(own, np.inf, d).min(1, initial=np.inf), "largest": np.where(own, -np.inf, d).max(1, initial=-np.inf), "near": near})
+
+    part = _mapped(rows, others, key, work, "a_id bigint, n bigint, total double, least double, largest double, near bigint")
+    return part.groupBy("a_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("largest").alias("largest"), F.sum("near").alias("near"))
+
+
+#: Bins of a histogram of distances, and distances that are collected to read a quantile off.
+BINS, READ = 4096, 100_000
+
+
+def distance_quantile(rows: DataFrame, others: DataFrame, share: float, metric: str = "euclidean", key: str = "vec_id", skip_self: bool = True) -> float | None:
+    """The exact quantile (linear interpolation) of all distances: histograms narrow it down to few values, which are read."""
+
+    def gathered(low, high, what, schema):
+        def work(ids, m, block_ids, block):
+            d = kernel(m, block, metric)
+            if skip_self:
+                d = d[block_ids[None] != ids[:, None]]
+            return what(d[(d >= low) & (d <= high)])
+
+        return _mapped(rows, others, key, work, schema)
+
+    def histogram(low, high):
+        def what(d):
+            bins = np.minimum(BINS - 1, ((d - low) / (high - low) * BINS).astype(np.int64)) if high > low else np.zeros(len(d), np.int64)
+            count = np.bincount(bins, minlength=BINS)
+            some = np.flatnonzero(count)
+            lows, highs = np.full(BINS, np.inf), np.full(BINS, -np.inf)
+            np.minimum.at(lows, bins, d)
+            np.maximum.at(highs, bins, d)
+            return pd.DataFrame({"bin": some, "n": count[some], "low": lows[some], "high": highs[some]})
+
+        part = gathered(low, high, what, "bin bigint, n bigint, low double, high double")
+        return part.groupBy("bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("bin").collect()
+
+    every = summaries(rows, others, metric, key, skip_self).agg(F.sum("n").alias("n"), F.min("least").alias("low"), F.max("largest").alias("high")).first()
+    if not every["n"]:
+        return None
+    place = share * (every["n"] - 1)
+    wanted, found = sorted({int(np.floor(place)), int(np.ceil(place))}), {}
+    for rank in wanted:
+        low, high, before = every["low"], every["high"], 0
+        while rank not in found:
+            for b in histogram(low, high):
+                if rank < before + b["n"]:
+                    break
+                before += b["n"]
+            low, high = b["low"], b["high"]
+            if low == high:
+                found[rank] = low
+            elif b["n"] <= READ:
+                values = gathered(low, high, lambda d: pd.DataFrame({"d": d}), "d double").toPandas()["d"].to_numpy()
+                found[rank] = float(np.sort(values)[rank - before])
+    return found[wanted[0]] + (place - wanted[0]) * (found[wanted[-1]] - found[wanted[0]])
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: str = "euclidean", key: str = "vec_id", skip_self: bool = True, farthest: bool = False) -> DataFrame:
+    """a_id (query), b_id, dist, rank: the k nearest (or farthest) rows of each query, ties by id.
+
+    Every part keeps its best k a query, so what is shuffled is k a query and part.
     """
-    schema, near = "a_id bigint, b_id bigint, dist double", None
-    for query_ids, block in _blocks(queries, key):
-        sent = rows.sparkSession.sparkContext.broadcast((query_ids, block))
-
-        def run(batches, sent=sent):
-            query_ids, block = sent.value
-            step = max(1, STEP // max(1, len(query_ids)))
-            best_d, best_i = np.empty((len(query_ids), 0)), np.empty((len(query_ids), 0), np.int64)
-            for b in batches:
-                for s in range(0, len(b), step):
-                    part = b.iloc[s : s + step]
-                    ids = part[key].to_numpy()
-                    d = kernel(block, np.stack(part["v"].to_numpy()).astype(float), metric)
-                    if skip_self:
-                        d[query_ids[:, None] == ids[None]] = np.inf
-                    d, i = np.concatenate([best_d, d], 1), np.concatenate([best_i, np.broadcast_to(ids, d.shape)], 1)
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            real = np.isfinite(best_d)
-            yield pd.DataFrame({"a_id": np.repeat(query_ids, real.sum(1)), "b_id": best_i[real], "dist": best_d[real]})
-
-        part = rows.select(key, "v").mapInPandas(run, schema)
-        near = part if near is None else near.unionByName(part)
-    if near is None:
-        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    sign = -1.0 if farthest else 1.0
+
+    def work(ids, m, block_ids, block):  # ids: rows, block: queries
+        d = sign * kernel(block, m, metric)
+        if skip_self:
+            d[block_ids[:, None] == ids[None]] = np.inf
+        i = np.broadcast_to(ids, d.shape)
+        order = np.lexsort((i, d), axis=1)[:, :k]
+        d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        real = np.isfinite(d)
+        return pd.DataFrame({"a_id": np.repeat(block_ids, real.sum(1)), "b_id": i[real], "dist": d[real]})
+
+    best = lambda x: x.sort_values(["a_id", "dist", "b_id"]).groupby("a_id", sort=False).head(k)
+    near = _mapped(rows, queries, key, work, "a_id bigint, b_id bigint, dist double", best)
     best = near.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "b_id"))), 1, k).alias("best"))
-    return best.select("a_id", F.posexplode("best").alias("pos", "x")).select("a_id", F.col("x.b_id").alias("b_id"), F.col("x.dist").alias("dist"), (F.col("pos") + 1).alias("rank"))
+    return best.select("a_id", F.posexplode("best").alias("pos", "x")).select("a_id", F.col("x.b_id").alias("b_id"), (F.lit(sign) * F.col("x.dist")).alias("dist"), (F.col("pos") + 1).alias("rank"))
 
 
 def tie_diagnostics(distances: DataFrame, unique_least: int = 200, top_most: float = 0.05) -> DataFrame:
@@ -188,7 +268,7 @@ def tie_diagnostics(distances: DataFrame, unique_least: int = 200, top_most: flo
 
 
 def sampled_gaps(rows: DataFrame, others: DataFrame, key: str = "vec_id") -> DataFrame:
-    """a_id, b_id, gaps: each row with one of each block of the others (its id modulo their number, in the order of ids)."""
+    """a_id, b_id, gaps: each row with one of each part of the others (its id modulo their number, in the order of ids)."""
 
     def work(ids, m, block_ids, block):
         at = ids % len(block_ids)

@@ -86,8 +86,11 @@ def ratio_sweep(cases: DataFrame, controls: DataFrame, ratios: Sequence[float],
 def pool_sweep(vectors: DataFrame, sizes: Sequence[int], key: str = "vec_id", target: str = "target", metric: str = "euclidean") -> DataFrame:
     """pool, mean_cost, q50, q90, n: matching costs for growing candidate pools; the greedy order is made once and its prefixes are used."""
     cases, controls = vectors.where(F.col(target) == 1), vectors.where(F.col(target) == 0)
+    n = cases.count()
+    if min(sizes) < n:
+        raise ValueError(f"{n} cases need pools of {n} at least, not {min(sizes)}")
     every = pairwise(controls, cases, metric, key)
-    order = curate.dispersed(controls, max(sizes), curate.seed_smart(every), metric, key).select("id", "pick_order").collect()
+    order = curate.dispersed(controls, max(sizes), curate.seed_smart(controls, cases, metric, key), metric, key).select("id", "pick_order").collect()
     order = vectors.sparkSession.createDataFrame(order, "id bigint, pick_order bigint")
     out = None
     for m in sizes:
@@ -102,7 +105,7 @@ def ablation(vectors_by_set: dict[str, DataFrame], m: int, key: str = "vec_id",
     out = None
     for a, va in vectors_by_set.items():
         controls = va.where(F.col(target) == 0)
-        picked = curate.dispersed(controls, m, curate.seed_smart(pairwise(controls, va.where(F.col(target) == 1), metric, key)), metric, key)
+        picked = curate.dispersed(controls, m, curate.seed_smart(controls, va.where(F.col(target) == 1), metric, key), metric, key)
         ids = picked.select(F.col("id").alias(key))
         for b, vb in vectors_by_set.items():
             pool = vb.where(F.col(target) == 0).join(ids, key, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .curate import undersample_to
@@ -17,12 +17,7 @@ def near_miss(vectors: DataFrame, version: int = 1, k: int = 3, key="vec_id", ta
     """
     minority, majority = vectors.where(F.col(target) == 1), vectors.where(F.col(target) == 0)
     n = minority.count()
-    if version == 2:
-        far = nearest(majority, minority, n, metric, key, False)
-        rank = Window.partitionBy("a_id").orderBy(F.desc("dist"), "b_id")
-        near = far.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
-    else:
-        near = nearest(majority, minority, k, metric, key, False)
+    near = nearest(majority, minority, k, metric, key, False, farthest=version == 2)
     mean = near.groupBy("a_id").agg(F.avg("dist").alias("m"))
     if version == 3:
         pool = nearest(minority, majority, k, metric, key, False).select(F.col("b_id").alias("a_id")).distinct()

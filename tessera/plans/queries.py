@@ -577,8 +577,7 @@ def nearest_controls(spark, d):
 
 @query("SELECT a_id, b_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY dist, a_id) AS k FROM pairs) WHERE k <= 3", (s.VECTORS_SQL, EUCLID), "dist:6")
 def cheapest_edges(spark, d):
-    controls, cases = _split(spark, d)
-    return curate.cheapest_edges(distance.pairwise(controls, cases), 3)
+    return curate.cheapest_edges(*_split(spark, d), 3)
 
 
 @query(
@@ -616,7 +615,7 @@ def _pairs(spark, d):
 
 @query("SELECT a_id AS seed_id FROM pairs GROUP BY a_id ORDER BY avg(dist), a_id LIMIT 1", (s.VECTORS_SQL, EUCLID))
 def seed_smart(spark, d):
-    return spark.createDataFrame([(curate.seed_smart(_pairs(spark, d)),)], "seed_id bigint")
+    return spark.createDataFrame([(curate.seed_smart(*_split(spark, d)),)], "seed_id bigint")
 
 
 @query(
@@ -629,8 +628,7 @@ def seed_centroid(spark, d):
 
 @query()
 def seed_density(spark, d):
-    controls, _ = _split(spark, d)
-    return spark.createDataFrame([(curate.seed_density(distance.pairwise(controls, controls)),)], "seed_id bigint")
+    return spark.createDataFrame([(curate.seed_density(_split(spark, d)[0]),)], "seed_id bigint")
 
 
 @query()
@@ -640,7 +638,7 @@ def seed_random(spark, d):
 
 @query("SELECT b_id, w / avg(w) OVER () AS weight FROM (SELECT b_id, 1 / (min(dist) + 1e-8) AS w FROM pairs GROUP BY b_id)", (s.VECTORS_SQL, EUCLID), "weight:6")
 def boundary_weights(spark, d):
-    return curate.boundary_weights(_pairs(spark, d))
+    return curate.boundary_weights(*_split(spark, d))
 
 
 @query(
@@ -649,13 +647,12 @@ def boundary_weights(spark, d):
     "weight:6",
 )
 def density_weights(spark, d):
-    _, cases = _split(spark, d)
-    return curate.density_weights(distance.pairwise(cases, cases, "manhattan"))
+    return curate.density_weights(_split(spark, d)[1], metric="manhattan")
 
 
 @query("SELECT b_id, min(dist) AS least FROM pairs GROUP BY b_id ORDER BY least, b_id LIMIT 10", (s.VECTORS_SQL, EUCLID), "least:6")
 def hardest_cases(spark, d):
-    return curate.hardest_cases(_pairs(spark, d), 10)
+    return curate.hardest_cases(*_split(spark, d), 10)
 
 
 @query()
@@ -682,6 +679,11 @@ def dispersed_by_leaf(spark, d):
     return curate.dispersed_by_leaf(v.withColumn("target", (F.col("vec_id") % 9 == 0).cast("int")), "leaf", 2, 40)
 
 
+@query()
+def sparse_matching(spark, d):
+    return curate.matched(_pairs(spark, d), cheapest=3)
+
+
 @query()
 def min_cost_matching(spark, d):
     return curate.matched(_pairs(spark, d))
@@ -694,7 +696,7 @@ def min_cost_matching_1_to_2(spark, d):
 
 @query()
 def two_stage_curation(spark, d):
-    return curate.two_stage(s.vectors(spark, d), 150, weighting="boundary")[1]
+    return curate.two_stage(s.vectors(spark, d), 2 * _split(spark, d)[1].count(), weighting="boundary")[1]
 
 
 @query("SELECT vec_id AS id, row_number() OVER (ORDER BY sha256('11:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS place FROM vectors WHERE target = 0 ORDER BY place LIMIT 100", (s.VECTORS_SQL,))
@@ -750,7 +752,10 @@ def near_miss_3(spark, d):
 ALL_NEAR = "alln AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.target AS ya, b.target AS yb, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum([abs(x[1] - x[2]) FOR x IN list_zip(a.v, b.v)]), b.vec_id) AS k FROM vectors a, vectors b WHERE a.vec_id != b.vec_id)"
 
 
-@query("SELECT x.a_id AS id FROM alln x JOIN alln y ON x.a_id = y.b_id AND x.b_id = y.a_id WHERE x.k = 1 AND y.k = 1 AND x.ya = 0 AND x.yb = 1", (s.VECTORS_SQL, ALL_NEAR))
+@query(
+    "SELECT x.a_id AS id FROM one x JOIN one y ON x.a_id = y.b_id AND x.b_id = y.a_id WHERE x.ya = 0 AND x.yb = 1",
+    (s.VECTORS_SQL, ALL_NEAR, "one AS MATERIALIZED (SELECT a_id, b_id, ya, yb FROM alln WHERE k = 1)"),
+)
 def tomek_links(spark, d):
     return resample.tomek_links(s.vectors(spark, d), metric="manhattan")
 
@@ -1036,13 +1041,14 @@ def curated_sample(spark, d):
 
 @query()
 def pool_sweep(spark, d):
-    return experiments.pool_sweep(s.vectors(spark, d), [100, 200])
+    n = _split(spark, d)[1].count()
+    return experiments.pool_sweep(s.vectors(spark, d), [n, 2 * n, 3 * n])
 
 
 @query()
 def feature_set_ablation(spark, d):
     v = s.vectors(spark, d)
-    return experiments.ablation({"front": v.withColumn("v", F.slice("v", 1, 16)), "back": v.withColumn("v", F.slice("v", 17, 48))}, 120)
+    return experiments.ablation({"front": v.withColumn("v", F.slice("v", 1, 16)), "back": v.withColumn("v", F.slice("v", 17, 48))}, 2 * _split(spark, d)[1].count())
 
 
 @query()

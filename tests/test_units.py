@@ -156,8 +156,40 @@ def test_leaf_refit(spark):
 
 
 def test_weights(spark):
-    d = spark.createDataFrame([(7, 1, 1.0), (8, 1, 5.0), (7, 2, 3.0), (8, 2, 4.0)], "a_id long, b_id long, dist double")
-    assert [round(w, 6) for _, w in sorted(values(curate.boundary_weights(d), "b_id", "weight"))] == [1.5, 0.5]
+    rows = lambda *x: spark.createDataFrame([(i, [v]) for i, v in x], "vec_id long, v array<double>")
+    assert [round(w, 6) for _, w in sorted(values(curate.boundary_weights(rows((7, 0.0), (8, 10.0)), rows((1, 1.0), (2, 13.0))), "b_id", "weight"))] == [1.5, 0.5]
+
+
+def test_tiles_and_reductions(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (70, 4)).astype(float)
+    make = lambda ids: spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in ids], "vec_id long, v array<double>")
+    a, b = make(range(45)), make(range(30, 70))
+    full = distance.kernel(x[:45], x[30:], "manhattan")
+    off = full[np.arange(45)[:, None] != np.arange(30, 70)[None]]
+
+    def results():
+        pairs = sorted(values(distance.pairwise(a, b, "manhattan"), "a_id", "b_id", "dist"))
+        near = sorted(values(distance.nearest(a, b, 3, "manhattan"), "a_id", "rank", "b_id", "dist"))
+        far = sorted(values(distance.nearest(a, b, 2, "manhattan", farthest=True), "a_id", "rank", "b_id", "dist"))
+        sums = sorted(values(distance.summaries(a, b, "manhattan", under=4.0), "a_id", "n", "total", "least", "largest", "near"))
+        stored = sorted((r.id, o, d) for r in distance.distance_rows(a, b, "manhattan").collect() for o, d in zip(r.others, r.dist, strict=True))
+        return pairs, near, far, sums, stored, [distance.distance_quantile(a, b, q, "manhattan") for q in (0.0, 0.1, 0.37, 1.0)]
+
+    whole = results()
+    monkeypatch.setattr(distance, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(distance, "TILE_BYTES", 1000)
+    assert results() == whole
+    monkeypatch.setattr(distance, "READ", 5)
+    assert results()[5] == whole[5] == [pytest.approx(np.quantile(off, q)) for q in (0.0, 0.1, 0.37, 1.0)]
+    assert whole[0] == [(i, 30 + j, full[i, j]) for i in range(45) for j in range(40)] == whole[4]
+    assert whole[3] == [(i, 40, r.sum(), r.min(), r.max(), int(((r > 0) & (r < 4)).sum())) for i, r in enumerate(full)]
+    for i in range(45):
+        order = sorted((full[i, j], 30 + j) for j in range(40) if 30 + j != i)
+        assert [(r[2], r[3]) for r in whole[1] if r[0] == i] == [(o, d) for d, o in order[:3]]
+        order = sorted((-full[i, j], 30 + j) for j in range(40) if 30 + j != i)
+        assert [(r[2], r[3]) for r in whole[2] if r[0] == i] == [(o, -d) for d, o in order[:2]]
+    assert distance.pairwise(a, b.limit(0)).collect() == []
 
 
 def test_empty_isin_is_false(spark):
@@ -227,7 +259,7 @@ def test_dispersed_invariants(spark):
 
 def test_adaptive_matching(spark):
     d = spark.createDataFrame([(a, b, float(abs(3 * a - b))) for a in range(6) for b in range(4)], "a_id long, b_id long, dist double")
-    full, sparse = curate.matched(d), curate.matched_adaptively(d, 1)
+    full, sparse = curate.matched(d), curate.matched(d, cheapest=1)
     total = lambda x: x.agg(F.sum("cost")).first()[0]
     assert sparse.count() == 4 and total(full) <= total(sparse)
 
