@@ -141,3 +141,8 @@ def down_sample(df: DataFrame, target: str, most: int, keep: int, key="enrolid",
 
 def normalized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: normalize_code(c) for c in columns})
+
+
+def in_order(claims: DataFrame, key="enrolid", date="svcdate") -> DataFrame:
+    """All rows by id and date: a range partitioning and a sort within, so no task orders everything."""
+    return claims.repartitionByRange(key, date).sortWithinPartitions(key, date)

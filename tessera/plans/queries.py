@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import claims as fc
@@ -13,30 +10,9 @@ from ..operators import adherence, cohort, costs, curate, distance, experiments,
 from ..streaming import events as stream
 from . import standins as s
 from .features import cohort_features
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, ctes: tuple[str, ...] = (), r: str = ""):
-    """Registers a function under its name; ``r`` names double columns and the decimals that both sides round to."""
-    places = {c: int(n) for c, n in (x.split(":") for x in r.split())}
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
-            return df.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in places.items()}) if places else df
-
-        QUERIES[f.__name__] = run
-        if sql:
-            body = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
-            if places:
-                body = f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), {n}) AS {c}' for c, n in places.items())}) FROM ({body})"
-            ORACLES[f.__name__] = body
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 DX = ["dx1", "dx2", "pdx"]
 COND, COMORB, PROCS = "PROMO", ("ECONOMY", "Brand#3", "Brand#7"), (1, 2, 3, 4, 5, 10, 20)
@@ -223,9 +199,15 @@ def code_onehot(spark, d):
     return onehot.onehot(codes, "enrolid", "code", ["ECONOMY", "PROMO", "SMALL"], lambda v: f"has_{v.lower()}")
 
 
-@query()
+@query(
+    """SELECT enrolid, CASE WHEN cond THEN 'has_cond_' ELSE 'has_comorb_' END || short AS feature, CAST(max(CAST(c.code IS NOT NULL AND starts_with(c.code, short) AND regexp_matches(c.code, '^PRO') = cond AS INT)) AS DOUBLE) AS value
+    FROM codes c, (SELECT regexp_matches(code, '^PRO') AS cond, substr(code, 1, 3) AS short FROM codes WHERE code IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cond ORDER BY count(*) DESC, short) <= 5)
+    WHERE c.code IS NOT NULL GROUP BY enrolid, cond, short""",
+    (s.CLAIMS_SQL, CODES),
+)
 def icd_onehot_topk(spark, d):
-    return onehot.diagnosis_onehot(_base(spark, d), "enrolid", DX, F.coalesce(F.col("code").rlike("^PRO"), F.lit(False)), 5)
+    flags = onehot.diagnosis_onehot(_base(spark, d), "enrolid", DX, F.coalesce(F.col("code").rlike("^PRO"), F.lit(False)), 5)
+    return profile.long_form(flags, ["enrolid"], flags.columns[1:])
 
 
 @query(
@@ -875,7 +857,17 @@ def weighted_excess_auc(spark, d):
     return metrics.weighted_excess_auc(s.scored(spark, d))
 
 
-@query()
+def _excess_of(score: str, leaf: str, name: str, own: str) -> str:
+    run = RUN_LEAF.replace("run AS", f"run_{name} AS").replace("SELECT leaf, score, count", f"SELECT {leaf} AS leaf, {score} AS score, count").replace("GROUP BY leaf, score", "GROUP BY 1, 2")
+    g = EXCESS.replace("g AS (", f"g_{name} AS (").replace("FROM run ", f"FROM run_{name} ")
+    return f"{run}, {g}, {name} AS (SELECT sum(n * (auc - 0.5)) FILTER (pos >= 10 AND neg >= 10) / sum(n) FILTER (pos >= 10 AND neg >= 10) AS excess, sum(n) FILTER (pos >= 10 AND neg >= 10) / sum(n) AS {own} FROM g_{name})"
+
+
+@query(
+    "SELECT a.excess AS a_in_b, a.coverage_b, b.excess AS b_in_a, b.coverage_a, coalesce((a.excess + b.excess) / 2, a.excess, b.excess) AS "symmetric", a.excess - b.excess AS gap FROM a, b",
+    (s.SCORED_SQL, _excess_of("score", "leaf_b", "a", "coverage_b"), _excess_of("score_b", "leaf", "b", "coverage_a")),
+    "a_in_b:9 coverage_b:9 b_in_a:9 coverage_a:9 symmetric:9 gap:9",
+)
 def symmetric_excess(spark, d):
     return metrics.symmetric_excess(s.scored(spark, d), "score", "leaf", "score_b", "leaf_b")
 
@@ -890,14 +882,29 @@ def bootstrap_difference(spark, d):
     return metrics.bootstrap_scores(s.scored(spark, d), ["score", "score_b"], replicates=200)
 
 
-@query()
+NEAR_BOTH = f"""nb AS (SELECT a.vec_id AS id, b.target AS m, {SQL_METRICS['euclidean']} AS dist FROM vectors a, vectors b WHERE a.vec_id != b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id, b.target ORDER BY dist, b.vec_id) <= 10),
+  hs AS (SELECT id, avg(dist) FILTER (m = 1) AS d_min, avg(dist) FILTER (m = 0) AS d_maj FROM nb GROUP BY id), hm AS (SELECT id, avg(m) AS minority_share FROM (SELECT id, m FROM nb QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, m) <= 10) GROUP BY id),
+  hh AS (SELECT id, d_min, d_maj, d_maj / (d_min + 1e-12) AS ratio, d_maj - d_min AS margin, minority_share FROM hs JOIN hm USING (id))"""
+
+
+@query("SELECT *, 0.33 * ratio / max(ratio) OVER () + 0.33 * margin / max(margin) OVER () + 0.34 * minority_share / max(minority_share) OVER () AS composite FROM hh", (s.VECTORS_SQL, NEAR_BOTH), "d_min:6 d_maj:6 ratio:6 margin:6 minority_share:6 composite:5")
 def hardness(spark, d):
     controls, cases = _split(spark, d)
     every = s.vectors(spark, d)
     return metrics.hardness(distance.nearest(every, cases, 10), distance.nearest(every, controls, 10))
 
 
-@query()
+@query(
+    """SELECT event_id, least(greatest(coalesce(i.v, CASE WHEN lo.s IS NULL THEN hi.v WHEN hi.s IS NULL THEN lo.v ELSE lo.v + (hi.v - lo.v) * (e.score - lo.s) / (hi.s - lo.s) END), 1e-6), 1 - 1e-6) AS calibrated FROM scored e
+    LEFT JOIN iso i ON i.s = e.score ASOF LEFT JOIN iso lo ON lo.s < e.score ASOF LEFT JOIN iso hi ON hi.s > e.score""",
+    (
+        s.SCORED_SQL,
+        "fit AS (SELECT score AS s, count(*) AS n, sum(y) AS p, row_number() OVER (ORDER BY score) AS i FROM scored WHERE leaf_b < 3 GROUP BY score)",
+        "spans AS (SELECT a.i AS j, b.i AS k, sum(c.p) / sum(c.n) AS m FROM fit a JOIN fit b ON b.i >= a.i JOIN fit c ON c.i BETWEEN a.i AND b.i GROUP BY 1, 2)",
+        "iso AS (SELECT s, max(low) AS v FROM (SELECT f.s, j, min(m) AS low FROM fit f JOIN spans ON j <= f.i AND k >= f.i GROUP BY 1, 2) GROUP BY s)",
+    ),
+    "calibrated:9",
+)
 def isotonic_calibration(spark, d):
     rows = s.scored(spark, d)
     return metrics.calibrated(rows.where("leaf_b < 3"), rows).select("event_id", "calibrated")
@@ -1051,7 +1058,10 @@ def feature_set_ablation(spark, d):
     return experiments.ablation({"front": v.withColumn("v", F.slice("v", 1, 16)), "back": v.withColumn("v", F.slice("v", 17, 48))}, 2 * _split(spark, d)[1].count())
 
 
-@query()
+@query(
+    "SELECT CAST(r AS DOUBLE) AS ratio, vec_id AS id FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), vec_id) AS k FROM vectors WHERE target = 0), (SELECT unnest([0.5, 1.0, 2.0]) AS r), (SELECT sum(target) AS n FROM vectors) WHERE k <= ceil(r * n)",
+    (s.VECTORS_SQL,),
+)
 def ratio_sweep(spark, d):
     controls, cases = _split(spark, d)
     return experiments.ratio_sweep(cases, controls, [0.5, 1, 2], lambda c, n: curate.random_ids(c, n, "vec_id", 1), "vec_id")
@@ -1073,3 +1083,4 @@ def event_windows(spark, d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+from . import more_queries  # noqa: E402, F401  (registers the rest)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import decimal
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +72,14 @@ def distance_path(folder: str, metric: str, kind: str, seed: int | None = None,
 def views(spark: SparkSession, **tables: DataFrame) -> None:
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset: {master} needs a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
