@@ -864,7 +864,7 @@ def _excess_of(score: str, leaf: str, name: str, own: str) -> str:
 
 
 @query(
-    "SELECT a.excess AS a_in_b, a.coverage_b, b.excess AS b_in_a, b.coverage_a, coalesce((a.excess + b.excess) / 2, a.excess, b.excess) AS "symmetric", a.excess - b.excess AS gap FROM a, b",
+    "SELECT a.excess AS a_in_b, a.coverage_b, b.excess AS b_in_a, b.coverage_a, coalesce((a.excess + b.excess) / 2, a.excess, b.excess) AS \"symmetric\", a.excess - b.excess AS gap FROM a, b",
     (s.SCORED_SQL, _excess_of("score", "leaf_b", "a", "coverage_b"), _excess_of("score_b", "leaf", "b", "coverage_a")),
     "a_in_b:9 coverage_b:9 b_in_a:9 coverage_a:9 symmetric:9 gap:9",
 )
