@@ -29,14 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes, each pair of steps written to the shared folder.  Minima are taken with partial
     aggregates and joined back, so no node's neighbours are ever gathered in one place.
     """
-    edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), small=True)
 
     def mark(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     before = mark(edges)
     while before[0]:
-        edges = stored(_star(_star(edges, True), False))
+        edges = stored(_star(_star(edges, True), False), small=True)
         after = mark(edges)
         if after == before:
             break

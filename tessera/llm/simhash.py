@@ -275,27 +275,58 @@ def _sets(col: pa.Array, k: int):
     return distinct(np.repeat(rows, n), words), distinct(owner, shingles), mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64))
 
 
+#: Bits of the map of a text's shingles.
+MAP = 1024
+
+
+def _maps(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each run of hashes MAP bits, each telling whether an odd number of them fall to it: two maps differ in at most as many bits as shingles are in one text alone."""
+    out = np.zeros((len(at) - 1, MAP // 8), np.uint8)
+    for s in range(0, len(out), 512):
+        e = min(len(out), s + 512)
+        row = np.repeat(np.arange(e - s), np.diff(at[s : e + 1]))
+        spot = row * MAP + ((h[at[s] : at[e]] >> np.uint64(20)) & np.uint64(MAP - 1)).astype(np.int64)
+        out[s:e] = np.packbits((np.bincount(spot, minlength=(e - s) * MAP) & 1).astype(np.uint8).reshape(e - s, MAP), axis=1)
+    return out
+
+
+def _wide_map(h: np.ndarray) -> bytes | None:
+    """A map of as many bits as there are shingles (the next power of 2) where those are over MAP; folded, it is the map of MAP bits."""
+    if len(h) <= MAP:
+        return None
+    bits = 1 << (len(h) - 1).bit_length()
+    return np.packbits(np.bincount(((h >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(a: bytes, b: bytes) -> int:
+    """Bits in which two maps differ, the wider one folded to the other's width."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (a, b)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum(dtype=np.int64))
+
+
 def _prints(docs: DataFrame, k: int) -> DataFrame:
-    """key, doc_id, node (hash of the word sequence) and fp, the fingerprint of the distinct words."""
+    """key, doc_id, node (hash of the word sequence), fp, the fingerprint of the distinct words, map, wide and size, those of the distinct shingles."""
 
     def kernel(piece):
-        (h, at), _, node = _sets(piece.column("text"), k)
-        return pa.RecordBatch.from_arrays([piece.column("key"), piece.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (node, fold(mix(h), at)))], ["key", "doc_id", "node", "fp"])
+        (h, at), (grams, its), node = _sets(piece.column("text"), k)
+        wide = pa.array([_wide_map(grams[a:b]) for a, b in zip(its, its[1:], strict=False)], pa.binary())
+        maps = pa.FixedSizeBinaryArray.from_buffers(pa.binary(MAP // 8), len(node), [None, pa.py_buffer(_maps(grams, its).tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([piece.column("key"), piece.column("doc_id"), *(pa.array(x.view(np.int64)) for x in (node, fold(mix(h), at))), maps, wide, pa.array(np.diff(its))], ["key", "doc_id", "node", "fp", "map", "wide", "size"])
 
     types = dict(docs.dtypes)
-    return map_texts(docs.select("key", "doc_id", "text"), kernel, f"key bigint, doc_id {types['doc_id']}, node bigint, fp bigint")
+    return map_texts(docs.select("key", "doc_id", "text"), kernel, f"key bigint, doc_id {types['doc_id']}, node bigint, fp bigint, map binary, wide binary, size bigint")
 
 
 def _alike(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) between nodes of linked fingerprints: each with the first of its fingerprint, and the firsts of fingerprints that link."""
-    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), small=True)
     same = nodes.join(firsts, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
     far = links(firsts.select("fp"), NEAR).join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     return same.unionByName(far.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).where("u != v").distinct()
 
 
-#: Texts whose shingles are counted to put frequent ones last, frequent shingles at most, and pairs that a task holds at once.
-COUNTED, FREQUENT, PAIRS = 20_000, 65_536, 1 << 20
+#: Texts whose shingles are counted to put frequent ones last, and frequent shingles at most.
+COUNTED, FREQUENT = 20_000, 65_536
 
 
 def _frequent(docs: DataFrame, k: int, n: int) -> np.ndarray:
@@ -311,10 +342,10 @@ def _frequent(docs: DataFrame, k: int, n: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, k: int, similarity: float, frequent: np.ndarray) -> DataFrame:
-    """gram, size and node: the shingles of each text that another text of that similarity must share one of, and how many it has in all.
+    """gram, meta and node: the shingles of each text that another text of that similarity must share one of.
 
     With n shingles in a fixed order (rare ones first), two texts of the similarity share one of the
-    first n - ceil(similarity * n) + 1.
+    first n - ceil(similarity * n) + 1.  meta holds n and, below it, how many shingles follow, this one included.
     """
     order = np.argsort(frequent)
     keys, ranks = frequent[order], order + 1
@@ -328,20 +359,21 @@ def _prefixes(docs: DataFrame, k: int, similarity: float, frequent: np.ndarray)
             h = h[np.lexsort((h, np.where(keys[spot] == h, ranks[spot], 0), row))]
         place = np.arange(len(h)) - at[row]
         first = place <= (n - np.ceil(similarity * n - 1e-9))[row]
-        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n[row[first]].astype(np.int32)), pa.array(node[row[first]].view(np.int64))], ["gram", "size", "node"])
+        size = n[row[first]].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array((size << 32) | (size - place[first])), pa.array(node[row[first]].view(np.int64))], ["gram", "meta", "node"])
 
-    return map_texts(docs.select("text"), kernel, "gram bigint, size int, node bigint")
+    return map_texts(docs.select("text"), kernel, "gram bigint, meta bigint, node bigint")
 
 
 def _runs(rows: DataFrame, kernel, schema: str) -> DataFrame:
-    """``kernel`` (columns as arrays to batches of columns) over whole runs of one gram, sorted by gram, size and node."""
+    """``kernel`` (columns as arrays to batches of columns) over whole runs of one gram, sorted by gram, meta and node."""
     names = rows.columns
     out_names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         tail = None
         for b in batches:
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols = [np.frombuffer(raw(b.column(c))[0].tobytes(), np.uint64).reshape(b.num_rows, -1) if c == "map" else b.column(c).to_numpy(zero_copy_only=False) for c in names]
             if tail is not None:
                 cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
@@ -353,91 +385,135 @@ def _runs(rows: DataFrame, kernel, schema: str) -> DataFrame:
             for out in kernel(*tail):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], out_names)
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "size", "node").mapInArrow(run, schema)
+    return rows.repartition("gram").sortWithinPartitions("gram", "meta", "node").mapInArrow(run, schema)
 
 
 def _meeting(prefixes: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``prefixes`` whose shingle another node of a size that allows the similarity has, too; repeated rows once."""
 
-    def kernel(gram, size, node):
+    def kernel(gram, meta, node):
         new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-        gram, size, node = gram[new], size[new], node[new]
+        new[1:] = (gram[1:] != gram[:-1]) | (meta[1:] != meta[:-1]) | (node[1:] != node[:-1])
+        gram, meta, node = gram[new], meta[new], node[new]
+        size = meta >> 32
         near = (gram[1:] == gram[:-1]) & (size[:-1] >= similarity * size[1:] - 1e-9)
         keep = np.zeros(len(gram), bool)
         keep[1:] |= near
         keep[:-1] |= near
         if keep.any():
-            yield gram[keep], size[keep], node[keep]
-
-    return _runs(prefixes, kernel, "gram bigint, size int, node bigint")
+            yield gram[keep], meta[keep], node[keep]
 
+    return _runs(prefixes, kernel, "gram bigint, meta bigint, node bigint")
 
-def _shared(i, j, a, b, similarity: float):
-    """Pairs (u > v) of the nodes i and j of sizes a and b with how often they stand here, and how many prefix shingles they have to share.
-
-    Of the two prefixes, let the one that ends first be u's.  What both texts share up to there lies in both
-    prefixes; beyond it u has ceil(similarity * size) - 1 shingles.  So shared prefix shingles and those make up
-    what the similarity takes.
-    """
-    u, v = np.maximum(i, j), np.minimum(i, j)
-    least = np.ceil(similarity / (1 + similarity) * (a.astype(np.int64) + b) - 1e-9) - np.ceil(similarity * np.maximum(a, b) - 1e-9) + 1
-    order = np.lexsort((v, u))
-    u, v, least = u[order], v[order], least[order]
-    head = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.empty(0, np.int64)
-    return u[head], v[head], np.diff(np.append(head, len(u))), least[head].astype(np.int64)
 
-
-_SHARED = "u bigint, v bigint, n bigint, least bigint"
-
-
-def _enough(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("least").alias("least")).where("n >= least").select("u", "v")
+def _may(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two texts may be that similar, by their sizes and by what follows a shingle that they share first."""
+    x, y = a >> 32, b >> 32
+    rest = np.minimum(a & 0xFFFFFFFF, b & 0xFFFFFFFF)
+    return (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (rest >= similarity / (1 + similarity) * (x + y) - 1e-9)
 
 
 def _hubs(meeting: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) of each node with that node of its shingles which meets others in most shingles, such as the original of many copies.
 
-    Only pairs that share as many shingles in this way as the similarity takes.
+    Only pairs that may reach the similarity and that meet in several shingles.
     """
 
-    def kernel(gram, size, node, many):
+    def kernel(gram, meta, node, many):
         order = np.lexsort((node, -many, gram))
         first = np.concatenate([[True], gram[1:] != gram[:-1]])  # gram is sorted already
         at = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
         hub = node[at]
-        other = (hub != node) & (np.minimum(size, size[at]) >= similarity * np.maximum(size, size[at]) - 1e-9)
-        yield _shared(hub[other], node[other], size[at][other], size[other], similarity)
+        other = (hub != node) & _may(meta, meta[at], similarity)
+        yield np.maximum(hub, node)[other], np.minimum(hub, node)[other]
 
     many = meeting.groupBy("node").agg(F.count("*").alias("many"))
-    return _enough(_runs(meeting.join(many, "node").select("gram", "size", "node", "many"), kernel, _SHARED))
+    pairs = _runs(meeting.join(many, "node").select("gram", "meta", "node", "many"), kernel, "u bigint, v bigint")
+    return pairs.groupBy("u", "v").count().where("count > 2").select("u", "v")
+
+
+#: Rows of one shingle beyond which its pairs are compared by the maps of their shingles before they are given on; rows compared with all others at once.
+FEW, BLOCK = 16, 256
 
 
-def _apart(meeting: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) of all nodes of different groups that share as many prefix shingles as the similarity takes."""
+def _crowds(meeting: DataFrame, similarity: float) -> DataFrame:
+    """u and v of pairs of different groups that share a shingle of few rows and may reach the similarity; and the rows of other shingles (meta set)."""
 
-    def kernel(gram, size, node, group):
+    def kernel(gram, meta, node, group):
         first = np.concatenate([[True], gram[1:] != gram[:-1]])
         starts = np.flatnonzero(first)
-        mixed = (np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts))[np.cumsum(first) - 1]
-        gram, size, node, group = gram[mixed], size[mixed], node[mixed], group[mixed]
-        k, s, held, parts = np.arange(len(gram)), 1, 0, []
-
-        while len(k):
-            k = k[: np.searchsorted(k, len(gram) - s)]
-            k = k[gram[k + s] == gram[k]]
-            k = k[size[k] >= similarity * size[k + s] - 1e-9]
-            may = k[group[k] != group[k + s]]
-            parts.append((node[may], node[may + s], size[may], size[may + s]))
-            held += len(may)
-            if held > PAIRS:
-                yield _shared(*(np.concatenate(x) for x in zip(*parts, strict=True)), similarity)
-                held, parts = 0, []
-            s += 1
-        if held:
-            yield _shared(*(np.concatenate(x) for x in zip(*parts, strict=True)), similarity)
-
-    return _enough(_runs(meeting.select("gram", "size", "node", "group"), kernel, _SHARED))
+        run = np.cumsum(first) - 1
+        mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+        many = np.diff(np.append(starts, len(gram))) > FEW
+        crowd = (mixed & many)[run]
+        if crowd.any():
+            yield gram[crowd], node[crowd], meta[crowd], group[crowd]
+        own = (mixed & ~many)[run]
+        gram, meta, node, group = gram[own], meta[own], node[own], group[own]
+        parts = []
+        for s in range(1, FEW):
+            k = np.arange(max(0, len(gram) - s))
+            k = k[(gram[k] == gram[k + s]) & (group[k] != group[k + s]) & _may(meta[k], meta[k + s], similarity)]
+            parts.append(np.stack([np.maximum(node[k], node[k + s]), np.minimum(node[k], node[k + s])]))
+        u, v = np.concatenate(parts, axis=1)
+        none = np.zeros(len(u), np.int64)
+        yield u, v, none, none
+
+    return _runs(meeting.select("gram", "meta", "node", "group"), kernel, "u bigint, v bigint, meta bigint, grp bigint")
+
+
+def _close(crowds: DataFrame, maps: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Edges (u, v) of nodes of different groups in one crowd whose maps allow the similarity: all, or for each row the one of the most alike map."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def kernel(gram, meta, node, group, map_):
+        ends = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram))
+        for a, b in zip(ends, ends[1:], strict=False):
+            size = meta[a:b] >> 32
+            for s in range(a, b, BLOCK):
+                e = min(b, s + BLOCK)
+                ok = (group[s:e, None] != group[None, a:b]) & _may(meta[s:e, None], meta[None, a:b], similarity)
+                if not nearest:
+                    ok &= np.arange(a, b)[None] > np.arange(s, e)[:, None]
+                some, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                if not len(some):
+                    continue
+                ok, own, other = ok[np.ix_(some, cols)], map_[s:e][some], map_[a:b][cols]
+                gap = np.zeros(ok.shape, np.uint16)
+                for w in range(map_.shape[1]):
+                    gap += np.bitwise_count(own[:, w, None] ^ other[None, :, w])
+                ok &= gap <= apart * (size[s - a : e - a][some][:, None] + size[cols][None]) + 1e-9
+                if nearest:
+                    gap[~ok] = 60_000
+                    j = gap.argmin(1)
+                    i = np.flatnonzero(ok[np.arange(len(j)), j])
+                    j = j[i]
+                else:
+                    i, j = np.nonzero(ok)
+                if len(i):
+                    x, y = node[s:e][some][i], node[a:b][cols][j]
+                    yield np.maximum(x, y), np.minimum(x, y)
+
+    rows = crowds.where("meta != 0").select(F.col("u").alias("gram"), "meta", F.col("v").alias("node"), F.col("grp").alias("group"))
+    return _runs(rows.join(maps, "node").select("gram", "meta", "node", "group", "map"), kernel, "u bigint, v bigint").distinct()
+
+
+def _allowed(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose maps allow the similarity."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(raw(b.column(c))[0].tobytes(), np.uint64).reshape(b.num_rows, -1) for c in ("a", "b"))
+                gap = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                both_wide = np.flatnonzero(b.column("wide_a").is_valid().to_numpy(zero_copy_only=False) & b.column("wide_b").is_valid().to_numpy(zero_copy_only=False))
+                for k in both_wide:
+                    gap[k] = _folded(b.column("wide_a")[int(k)].as_py(), b.column("wide_b")[int(k)].as_py())
+                yield b.select(["u", "v"]).filter(pa.array(gap <= apart * b.column("both").to_numpy() + 1e-9))
+
+    both = pairs.join(maps.toDF("u", "a", "wide_a", "n"), "u").join(maps.toDF("v", "b", "wide_b", "m"), "v")
+    return both.select("u", "v", "a", "b", "wide_a", "wide_b", (F.col("n") + F.col("m")).alias("both")).mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -446,12 +522,13 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: f
     Texts of equal words are one node.  Two nodes are linked where the Jaccard similarity of their
     distinct shingles, computed from the shingles themselves, is ``similarity`` or more; links make the
     groups.  First come the likely pairs: nodes of word fingerprints that the vantage-point trees link, and
-    nodes with the hubs of their shingles.  Then every other pair that shares a shingle of its prefixes (as any two texts of
-    the similarity do) is verified, unless verified links join its ends already.
+    nodes with the hubs of their shingles; then, in shingles of many rows, each node with the one most alike.
+    Then every other pair of different groups that shares a shingle of its prefixes (as any two texts of the
+    similarity do) and that the maps of its shingles allow is verified.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     prints = stored(_prints(keyed, shingle_words))
-    nodes = stored(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("key").alias("key")))
+    nodes = stored(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "key", "map", "wide", "size"))))
     meeting = stored(_meeting(_prefixes(keyed, shingle_words, similarity, _frequent(keyed, shingle_words, nodes.count())), similarity))
     met = meeting.select("node").distinct()
 
@@ -460,19 +537,26 @@ def near_duplicate_groups(docs: DataFrame, shingle_words: int = 5, similarity: f
         return pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["node", "shingles"])
 
     def verified(pairs):
-        pairs = stored(pairs)
+        pairs = stored(_allowed(pairs, nodes.select("node", "map", "wide", "size"), similarity), small=True)
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        picked = stored(nodes.join(ends, "node", "left_semi").select("key", "node"))
+        picked = stored(nodes.join(ends, "node", "left_semi").select("key", "node"), small=True)
         picked = F.broadcast(picked) if picked.count() <= PICKED else picked
         sets = stored(map_texts(keyed.join(picked, "key").select("node", "text"), kernel, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
         both = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
         shared = F.size(F.array_intersect("a", "b"))
         return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
-    likely = _alike(nodes).join(met.withColumnRenamed("node", "u"), "u", "left_semi").join(met.withColumnRenamed("node", "v"), "v", "left_semi")
-    likely = stored(components(verified(likely.unionByName(_hubs(meeting, similarity)).distinct())))
-    grouped = meeting.join(likely.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    links_ = likely.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(_apart(grouped, similarity)))
+    def regrouped(links_):
+        found = stored(components(links_), small=True)
+        rooted = meeting.join(found.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        return found.select(F.col("node").alias("u"), F.col("root").alias("v")), stored(_crowds(rooted, similarity), small=True)
+
+    likely = _alike(nodes.select("node", "fp")).join(met.withColumnRenamed("node", "u"), "u", "left_semi").join(met.withColumnRenamed("node", "v"), "v", "left_semi")
+    maps = nodes.select("node", "map")
+    links_, crowds = regrouped(verified(likely.unionByName(_hubs(meeting, similarity)).distinct()))
+    links_, crowds = regrouped(links_.unionByName(verified(_close(crowds, maps, similarity, True))))
+    pairs = crowds.where("meta = 0").select("u", "v").unionByName(_close(crowds, maps, similarity, False)).distinct()
+    links_ = links_.unionByName(verified(pairs))
     comps = components(links_).withColumnsRenamed({"root": "group"})
     return prints.select("key", "doc_id", "node").join(comps, "node", "left").withColumn("group", F.coalesce("group", "node"))
 

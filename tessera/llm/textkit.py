@@ -42,18 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _DEFAULT_DIR["dir"]
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, small: bool = False) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors.
 
+    A ``small`` table (edges, keys; a few bytes a text) is written by an eighth of the session's shuffle partitions, 32 at least.
+
     The shuffle files that led to it are of no more use; collecting the driver's garbage lets Spark
     remove them now instead of whenever the driver's heap fills up.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    schema = df.schema
+    if small:
+        df = df.coalesce(max(32, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:

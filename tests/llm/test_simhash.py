@@ -102,3 +102,19 @@ def test_trees_find_every_pair():
             at = np.sort(at)
             linked(fp[at], mine, tries, 3, lambda i, j, hit, at=at: got.add_hits(at[i], at[j], hit))
     assert (got.label == want.label).all()
+
+
+def test_maps_bound_the_difference():
+    from tessera.llm.simhash import MAP, _folded, _maps, _wide_map
+
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 30, 900, 1024, 1025, 3000, 9000)]
+    sets += [np.unique(np.concatenate([s[: len(s) // 2], rng.integers(0, 1 << 63, len(s) // 3, dtype=np.uint64)])) for s in sets]
+    maps = _maps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = len(np.setxor1d(a, b))
+            x, y = (_wide_map(s) or maps[k].tobytes() for s, k in ((a, i), (b, j)))
+            narrow = int(np.bitwise_count(maps[i] ^ maps[j]).sum())
+            assert narrow <= _folded(x, y) <= apart and (narrow - apart) % 2 == 0
+    assert len(_wide_map(sets[5])) * 8 == 2 * MAP and _wide_map(sets[4]) is None
