@@ -8,6 +8,7 @@ whole texts: an Arrow batch is cut between documents, never inside one.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -42,6 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _DEFAULT_DIR["dir"]
 
 
+def tidy() -> None:
+    """Gives freed memory of this process back to the system: arrays that a model was trained on, Arrow's pool."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def stored(df: DataFrame, small: bool = False) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors.
 
@@ -56,7 +66,7 @@ def stored(df: DataFrame, small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(max(32, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
-    gc.collect()
+    tidy()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 

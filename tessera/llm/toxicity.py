@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, first_hashed, kept_out, map_texts, pieces, raw, word_hashes, words_of
+from .textkit import LOWER, first_hashed, kept_out, map_texts, pieces, raw, tidy, word_hashes, words_of
 
 #: Labelled rows of either class that are learned from at most: those whose hashed ids come first.
 LABELLED = 2_000
@@ -264,7 +264,10 @@ def learn(docs: DataFrame, labels: DataFrame, held: int | None = 0, modulus: int
     texts = got.column("text").combine_chunks()
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-    return train(texts, np.array(got.column("toxic").to_pylist(), np.int64))
+    model = train(texts, np.array(got.column("toxic").to_pylist(), np.int64))
+    del got, texts
+    tidy()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
