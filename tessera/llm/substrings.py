@@ -1,11 +1,11 @@
-"""Removal of repeated word windows through prefix-partitioned suffix trees.
-
-The trees are sparse: they hold the suffixes that begin at anchors.  The anchor of a window of WINDOW
-words is its leftmost GRAM-word piece of least hash, so equal windows have equal anchors.  Suffixes whose
-GRAM-word prefix occurs once in the corpus are leaves and drop out early.  The others are dealt out by
-a longer prefix, lengthened to a whole window where too many suffixes share it, so that every group fits
-into memory.  A group is a subtree, kept as sorted arrays; its nodes of depth WINDOW with two or more
-suffixes are the repeats, and of each the occurrence that comes first stays.
+"""Removal of repeated word windows by hashes of windows at anchors.
+
+This stands in place of prefix-partitioned suffix trees: suffixes are not ordered, and maximal repeats are
+not produced.  The anchor of a window of WINDOW words is its leftmost GRAM-word piece of least hash, so
+equal windows have equal anchors.  Windows whose anchor's piece occurs once in the corpus drop out early.
+The others are dealt out by a longer piece around the anchor, lengthened to a whole window where more than
+GROUP rows share it.  Within a group equal 64-bit window hashes are sorted together, and of each the
+occurrence that comes first stays; the words themselves are not compared.
 
 Whatever a task can settle among its own texts it settles there: of equal pieces or windows one goes on
 from each task, so a passage that a third of all texts share makes no large group.
