@@ -192,6 +192,25 @@ def test_tiles_and_reductions(spark, monkeypatch):
     assert distance.pairwise(a, b.limit(0)).collect() == []
 
 
+def one_table(spark, monkeypatch):
+    """Controls and cases of one table, with tiles for all sets: (vectors by id of each, the frames)."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 30, (60, 3)).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], int(i % 4 == 0)) for i in range(60)], "vec_id long, v array<double>, target int")
+    monkeypatch.setattr(distance, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(distance, "TILE_BYTES", 2000)
+    part = lambda t: np.array([i for i in range(60) if int(i % 4 == 0) == t])
+    return x, part(0), part(1), df.where("target = 0"), df.where("target = 1")
+
+
+def test_tiles_of_one_table(spark, monkeypatch):
+    x, a, b, controls, cases = one_table(spark, monkeypatch)
+    least = np.abs(x[b][:, None] - x[a][None]).sum(2).min(1)
+    w = 1 / (least + 1e-8)
+    got = dict(values(curate.boundary_weights(controls, cases, "manhattan"), "b_id", "weight"))
+    assert got == {int(i): pytest.approx(v) for i, v in zip(b, w / w.mean(), strict=True)}
+
+
 def test_empty_isin_is_false(spark):
     df = spark.createDataFrame([("a",), (None,)], "c string")
     assert [r[0] for r in df.select(F.coalesce(fc.in_any(["c"], []), F.lit(False))).collect()] == [False, False]
