@@ -211,6 +211,13 @@ def test_tiles_of_one_table(spark, monkeypatch):
     assert got == {int(i): pytest.approx(v) for i, v in zip(b, w / w.mean(), strict=True)}
 
 
+def test_sampled_gaps_by_tiles(spark, monkeypatch):
+    x, a, b, controls, cases = one_table(spark, monkeypatch)
+    for others, ids in ((cases, b), (controls, a)):
+        got = {r.a_id: (r.b_id, r.gaps) for r in distance.sampled_gaps(controls, others).collect()}
+        assert got == {int(i): (int(ids[i % len(ids)]), np.abs(x[i] - x[ids[i % len(ids)]]).tolist()) for i in a}
+
+
 def test_empty_isin_is_false(spark):
     df = spark.createDataFrame([("a",), (None,)], "c string")
     assert [r[0] for r in df.select(F.coalesce(fc.in_any(["c"], []), F.lit(False))).collect()] == [False, False]
