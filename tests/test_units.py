@@ -218,6 +218,12 @@ def test_sampled_gaps_by_tiles(spark, monkeypatch):
         assert got == {int(i): (int(ids[i % len(ids)]), np.abs(x[i] - x[ids[i % len(ids)]]).tolist()) for i in a}
 
 
+def test_hardest_cases_by_tiles(spark, monkeypatch):
+    x, a, b, controls, cases = one_table(spark, monkeypatch)
+    least = np.abs(x[b][:, None] - x[a][None]).sum(2).min(1)
+    assert values(curate.hardest_cases(controls, cases, 4, "manhattan"), "b_id", "least") == sorted(((int(i), v) for i, v in zip(b, least, strict=True)), key=lambda r: (r[1], r[0]))[:4]
+
+
 def test_empty_isin_is_false(spark):
     df = spark.createDataFrame([("a",), (None,)], "c string")
     assert [r[0] for r in df.select(F.coalesce(fc.in_any(["c"], []), F.lit(False))).collect()] == [False, False]
