@@ -249,6 +249,24 @@ def test_matching_finds_the_edges_it_needs(spark, monkeypatch):
             assert len({(r.case_id, r.control_id) for r in rows}) == len(b) * ratio and sum(r.cost for r in rows) == pytest.approx(least)
 
 
+def test_picks_in_the_cluster(spark, monkeypatch):
+    x, a, b, controls, cases = one_table(spark, monkeypatch)
+    rows = controls.unionByName(cases).withColumn("leaf", F.col("vec_id") % 2)
+    seed = int(a[3])
+
+    def results():
+        picks = [curate.dispersed(controls, 25, seed, "manhattan"), curate.dispersed(controls, 12, seed, "manhattan", how="d2", random_state=3)]
+        picks.append(curate.adaptive_pool(controls, cases, 30, seed, "manhattan", tau=0.0))
+        return [values(p.orderBy("pick_order"), "id") for p in picks] + [sorted(values(curate.dispersed_by_leaf(rows, "leaf", 1, 9, "manhattan"), "leaf", "pick_order", "id"))]
+
+    at_once = results()
+    d = np.abs(x[a][:, None] - x[a][None]).sum(2)
+    assert [i for (i,) in at_once[0]] == a[kernels.farthest_first(lambda i: d[i], len(a), 3, 25)[0]].tolist()
+    monkeypatch.setattr(curate, "POOL_BYTES", 0)
+    monkeypatch.setattr(kernels, "AHEAD", 6)
+    assert results() == at_once
+
+
 def test_empty_isin_is_false(spark):
     df = spark.createDataFrame([("a",), (None,)], "c string")
     assert [r[0] for r in df.select(F.coalesce(fc.in_any(["c"], []), F.lit(False))).collect()] == [False, False]
