@@ -275,6 +275,21 @@ def test_summary_of_distances(spark, monkeypatch):
     assert tuple(got) == (pytest.approx(d.mean()), pytest.approx(np.quantile(d, 0.5)), pytest.approx(np.quantile(d, 0.9)), d.size)
 
 
+def test_quantiles_by_histograms(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.lognormal(0, 3, 400), 1)
+    df = spark.createDataFrame([(float(v), i % 3 if i else None, None) for i, v in enumerate(x)], "a double, b int, c double")
+    monkeypatch.setattr(profile, "READ", 3)
+    monkeypatch.setattr(profile, "BINS", 8)
+    shares = (0.0, 0.25, 0.5, 0.77, 1.0)
+    got = profile.quantiles(df, ["a", "b", "c"], shares)
+    assert got["a"] == pytest.approx(np.quantile(x, shares)) and got["b"] == pytest.approx(np.quantile([i % 3 for i in range(1, 400)], shares)) and got["c"] == [None] * 5
+    odd = spark.createDataFrame([(float(v),) for v in ("-inf", "1", "2", "inf", "nan")], "a double")
+    assert str(profile.quantiles(odd, ["a"], (0.0, 0.25, 0.5, 0.75, 1.0))["a"]) == "[-inf, 1.0, 2.0, inf, nan]"
+    row = profile.described(df, ["a", "c"]).where("feature = 'a'").first()
+    assert (row.n, row.q50, row.max) == (400, pytest.approx(np.median(x)), x.max())
+
+
 def test_empty_isin_is_false(spark):
     df = spark.createDataFrame([("a",), (None,)], "c string")
     assert [r[0] for r in df.select(F.coalesce(fc.in_any(["c"], []), F.lit(False))).collect()] == [False, False]
