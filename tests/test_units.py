@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import claims as fc
-from tessera.operators import adherence, cohort, costs, curate, distance, kernels, metrics, models, onehot, prepare, profile, reports, resample
+from tessera.operators import adherence, cohort, costs, curate, distance, experiments, kernels, metrics, models, onehot, prepare, profile, reports, resample
+from tessera.plans import registry
 from tessera.sources import readers, writers
 
 
@@ -634,3 +635,33 @@ def test_rows_bid_before_searches(monkeypatch):
     assert not stuck and cost.ravel()[chosen].sum() == pytest.approx(cost[np.arange(120), kernels.assign(cost)].sum())
     assert spare.min() > -1e-9 and np.abs(spare[chosen]).max() < 1e-9 and v.max() <= 0 and not v[np.setdiff1d(np.arange(160), j[chosen])].any()
     assert not pops
+
+
+def test_gower_pairs_by_a_join(spark):
+    rng = np.random.default_rng(8)
+    names = [f"f{j}" for j in range(70)]
+    data = [(i, *map(int, rng.integers(0, 2, 70)), None if i == 3 else "ABC"[i % 3], None if i == 5 else float(x), float(i)) for i, x in enumerate(rng.normal(size=40))]
+    df = spark.createDataFrame(data, f"id int, {', '.join(f'{c} int' for c in names)}, c string, x double, y double")
+    roles = {"binary": names, "categorical": ["c"], "numeric": ["x", "y"]}
+    space = prepare.GowerSpace.fit(df, "id", roles)
+    held = {r.id: (np.array(r.b), np.array(r.v)) for r in space.vectors(df).collect()}
+    for few, many in (("id < 7", "id >= 7"), ("id >= 7", "id < 7")):
+        got = experiments.gower_distances(space, df.where(few), df.where(many))
+        assert "MapInPandas" not in got._jdf.queryExecution().toString()
+        assert got.dtypes == [("a_id", "bigint"), ("b_id", "bigint"), ("dist", "double")]
+        found = {(r.a_id, r.b_id): r.dist for r in got.collect()}
+        assert len(found) == 7 * 33
+        for (a, b), d in found.items():
+            assert d == distance.gower_kernel(held[a][0][None], held[a][1][None], held[b][0][None], held[b][1][None])[0, 0]
+    assert experiments.gower_distances(space, df.where("id < 0"), df).count() == 0
+    with pytest.raises(Exception, match="0 and 1"):
+        experiments.gower_distances(space, df.withColumn("f3", F.lit(0.5)), df).collect()
+
+
+def test_rounded_is_round(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=2000), rng.normal(size=2000) * 1e7, rng.integers(-(10**7), 10**7, 2000) / 2e4 * 1e-2, np.round(rng.random(2000), 7)])
+    x = [*x.tolist(), 0.0, -0.0, 1e300, -2e13, 1e-300, 0.5, -2.5, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for n in (0, 2, 4, 6, 9):
+        assert df.where(~registry.rounded(F.col("x"), n).cast("string").eqNullSafe(F.round("x", n).cast("string"))).count() == 0  # -0.0 is not 0.0
