@@ -2,15 +2,18 @@
 
 import itertools
 import math
+import pathlib
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import claims as fc
 from tessera.operators import adherence, cohort, costs, curate, distance, experiments, kernels, metrics, models, onehot, prepare, profile, reports, resample
 from tessera.plans import registry
+from tessera.plans.queries import QUERIES
 from tessera.sources import readers, writers
 
 
@@ -658,6 +661,26 @@ def test_gower_pairs_by_a_join(spark):
         experiments.gower_distances(space, df.withColumn("f3", F.lit(0.5)), df).collect()
 
 
+def test_gower_rows_alike_share_distances(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    data = [(int(i), int(i % 2), float(x)) for i, x in zip(rng.permutation(2400), np.repeat(rng.normal(size=40), 60), strict=True)]
+    df = spark.createDataFrame(data, "id long, f int, x double").repartition(8, "id")
+    space = prepare.GowerSpace.fit(df, "id", {"binary": ["f"], "numeric": ["x"]})
+    path = f"{tmp_path}/pairs"
+    experiments.gower_distances(space, df.where("id % 4 > 0"), df.where("id % 4 = 0")).write.parquet(path)
+    assert spark.read.parquet(path).select("a_id", "b_id").distinct().count() == 1800 * 600
+    dist = [pq.read_table(f, columns=["dist"])["dist"].to_numpy() for f in pathlib.Path(path).glob("*.parquet")]
+    assert sum((d[1:] != d[:-1]).sum() for d in dist) < 1800 * 600 / 20  # else a column of distances takes room for each row
+    # More rows alike than share a distance at once, repeated and null ids.
+    monkeypatch.setattr(experiments, "ALIKE", 4)
+    few = spark.createDataFrame([(i if i < 11 else None, 1, 0.5) for i in range(12)] + [(3, 1, 0.5), (20, 0, 1.5)], "id long, f int, x double")
+    space = prepare.GowerSpace.fit(few, "id", {"binary": ["f"], "numeric": ["x"]})
+    ids = [r.id for r in few.collect()]
+    for rows, others in ((few, few.limit(13)), (few.limit(13), few)):
+        want = [(a, b, float(20 in (a, b))) for a in ids[: rows.count()] for b in ids[: others.count()]]
+        assert sorted(values(experiments.gower_distances(space, rows, others), "a_id", "b_id", "dist"), key=str) == sorted(want, key=str)
+
+
 def test_rounded_is_round(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([rng.normal(size=2000), rng.normal(size=2000) * 1e7, rng.integers(-(10**7), 10**7, 2000) / 2e4 * 1e-2, np.round(rng.random(2000), 7)])
