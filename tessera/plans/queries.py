@@ -647,7 +647,7 @@ def d2_selection(spark, d):
 @query()
 def adaptive_pool(spark, d):
     controls, cases = _split(spark, d)
-    return curate.adaptive_pool(controls, cases, 200, curate.seed_centroid(controls, "vec_id"))
+    return curate.adaptive_pool(controls, cases, None, curate.seed_centroid(controls, "vec_id"))
 
 
 @query()

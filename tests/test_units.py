@@ -291,6 +291,21 @@ def test_picks_in_the_cluster(spark, monkeypatch):
     assert results() == at_once
 
 
+def test_adaptive_pool_ends_by_its_rule(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(900, 4)), 3)
+    target = np.arange(900) % 3 == 0
+    rows = [(i, [float(v) for v in x[i]], int(i % 3)) for i in range(900)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = values(QUERIES["adaptive_pool"](spark, str(tmp_path)).orderBy("pick_order"), "id")
+    a = np.flatnonzero(~target)
+    between, within = distance.kernel(x[a], x[target], "euclidean"), distance.kernel(x[a], x[a], "euclidean")
+    picks, radii = kernels.farthest_first(lambda i: within[i], len(a), int(((x[a] - x[a].mean(0)) ** 2).sum(1).argmin()), len(a))
+    tau, means = np.quantile(between.min(0), 0.95), {n: between[picks[:n]].min(0).mean() for n in range(100, 601, 100)}
+    end = next(n for n in range(300, 601) if n == 600 or radii[n] <= tau or (n > 300 and n % 100 == 0 and (means[n - 100] - means[n]) / means[n - 100] <= 0.01))
+    assert [i for (i,) in got] == a[picks[:end]].tolist() and end >= 300
+
+
 def test_summary_of_distances(spark, monkeypatch):
     x, a, b, controls, cases = one_table(spark, monkeypatch)
     monkeypatch.setattr(distance, "READ", 3)
